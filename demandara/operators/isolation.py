@@ -20,34 +20,38 @@ from .quantiles import quantiles_of_counts, value_counts
 SAMPLE = 256
 
 
-def mean_depths(values):
-    """Mean isolation depth of each of the sorted distinct ``values`` (a NumPy array)."""
-    import numpy as np
-
-    n = len(values)
-    if n < 2:
-        return np.zeros(n)
-    gap = np.diff(values)
-    v = values[:, None]
-    # Gap j lies between values j and j + 1; its far end from v is j (left) or j + 1 (right).
-    left = np.arange(n - 1)[None, :] < np.arange(n)[:, None]
-    far = np.where(left, v - values[None, :-1], values[None, 1:] - v)
-    return (gap[None, :] / far).sum(axis=1)
-
-
-def _depth_mapper(depths_of):
-    """Arrow mapper adding the depths of each group's sample (one row per group)."""
-    def run(batches):
+def depth_functions():
+    """(depths of a sorted sample, Arrow mapper over one row per group).
+
+    Functions are built here, with their imports inside, so that tasks receive them whole
+    and executors need only NumPy and Arrow.
+    """
+    def mean_depths(values):
+        import numpy as np
+
+        n = len(values)
+        if n < 2:
+            return np.zeros(n)
+        gap = np.diff(values)
+        v = values[:, None]
+        # Gap j lies between values j and j + 1; its far end from v is j (on the left) or
+        # j + 1 (on the right).
+        left = np.arange(n - 1)[None, :] < np.arange(n)[:, None]
+        far = np.where(left, v - values[None, :-1], values[None, 1:] - v)
+        return (gap[None, :] / far).sum(axis=1)
+
+    def mapper(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            depths = [depths_of(np.asarray(x, dtype="float64")).tolist()
+            depths = [mean_depths(np.asarray(x, dtype="float64")).tolist()
                       for x in b.column("_vals").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(depths, pa.list_(pa.float64()))],
                 names=[*b.schema.names, "_depths"])
-    return run
+
+    return mean_depths, mapper
 
 
 def value_depths(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -63,7 +67,7 @@ def value_depths(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     sample = (counts.withColumn("_rn", pick).where(F.col("_rn") <= SAMPLE)
               .groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_vals")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema)
-    depths = sample.mapInArrow(_depth_mapper(mean_depths), f"{schema}, `_depths` array<double>")
+    depths = sample.mapInArrow(depth_functions()[1], f"{schema}, `_depths` array<double>")
     joined = counts.join(depths, keys) if keys else counts.withColumns(
         {c: depths.select(c).scalar() for c in ("_vals", "_depths")})
     below = F.size(F.filter("_vals", lambda x: x <= F.col("_v")))

@@ -68,11 +68,6 @@ def s07(spark, sf):
     return scans.open_orders(fx.pedidos(spark, sf))
 
 
-@query("s08_ingest_consumption")
-def s08(spark, sf):
-    return ingest.ingest_consumption(fx.consumo_crudo(spark, sf)).clean
-
-
 CRUDO_TYPED = """
   SELECT coalesce(try_strptime(fecha, '%-d/%-m/%Y'), try_strptime(fecha, '%Y-%m-%d')) AS f,
          nullif(trim(codigosap), '') AS codigo,
@@ -82,7 +77,7 @@ CRUDO_TYPED = """
   FROM crudo"""
 
 
-@query("s08_ingest_clean_rows", """
+@query("s08_ingest_consumption", """
   SELECT CAST(f AS DATE) AS fecha, codigo, centro, almacen, q AS cantidad, descripcion
   FROM tipado WHERE f IS NOT NULL AND codigo IS NOT NULL AND q IS NOT NULL""",
        ("crudo",), {"tipado": CRUDO_TYPED})
