@@ -69,13 +69,14 @@ SOLUTION = ("n_train bigint, intercepto double, coef array<double>, "
 
 def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge",
           alpha_column: str | None = None, alpha: float = ALPHA,
-          scale: bool = True) -> DataFrame:
+          scale: bool = True, mask_column: str | None = None) -> DataFrame:
     """Coefficients per key from product sums.
 
     ``ridge``: penalised least squares, intercept free; ``ols``: least squares of least
     norm; ``lasso``: absolute penalty by coordinate descent. With ``scale`` the features
     are standardised first (constant ones get scale 1); coefficients are given for the
     unscaled features, ``importancia`` for the scaled ones. ``sse`` is the train error sum.
+    ``mask_column`` names an array of 1 and 0 that switches features on or off per row.
     """
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema
                       if f.name != "g")
@@ -119,6 +120,9 @@ def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge"
                 flat_feature = var <= 1e-12 * (mean[:, :p] ** 2 + 1e-3)
                 sd = np.where(flat_feature, 1.0, np.sqrt(var))
                 live = (~flat_feature).astype(float)
+                if mask_column:
+                    on = part.column(part.schema.get_field_index(mask_column))
+                    live = live * on.flatten().to_numpy().reshape(s, p)
                 div = sd if scale else np.ones_like(sd)
                 a = cross[:, :p, :p] * live[:, :, None] * live[:, None, :]
                 a = a / (div[:, :, None] * div[:, None, :])

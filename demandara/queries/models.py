@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import features as feat
-from ..plans import forecast, ridge, short_series
+from ..plans import forecast, ridge, seasonal_ar, short_series, trees, trend_season
 from . import fixtures as fx
 from .registry import query, re, rounded
 from .windows import SLOPE_SQL, _lag, _rows
@@ -270,3 +270,75 @@ def m20(spark, sf):
     out = forecast.forecast_kpis(short_series.short_forecast(stats, 30), daily,
                                  short_series.short_metrics(stats))
     return rounded(out, *KPIS)
+
+
+def _tree_split(spark, sf):
+    return feat.temporal_split(feat.feature_rows(fx.serie_brand(spark, sf)))
+
+
+def _tree_query(key: str, name: str):
+    @query(key)
+    def run(spark, sf):
+        split = _tree_split(spark, sf)
+        return trees.predict(split, trees.fit_trees(split, name), 30)
+    return run
+
+
+m06 = _tree_query("m06_random_forest", "random_forest")
+m07 = _tree_query("m07_gradient_boosting", "gradient_boosting")
+m08 = _tree_query("m08_boosted_regularised", "xgboost")
+
+
+@query("m06_forest_test_metrics")
+def m06_metrics(spark, sf):
+    split = _tree_split(spark, sf)
+    return trees.evaluate(split, trees.fit_trees(split, "random_forest"))
+
+
+@query("m16_forest_importance")
+def m16_trees(spark, sf):
+    return trees.importance(trees.fit_trees(_tree_split(spark, sf), "random_forest"), spark)
+
+
+@query("m09_trend_seasonality")
+def m09(spark, sf):
+    return trend_season.predict(fx.serie_brand(spark, sf), 30)
+
+
+@query("m09_trend_test_metrics")
+def m09_metrics(spark, sf):
+    return trend_season.evaluate(fx.serie_part(spark, sf))
+
+
+@query("m10_components")
+def m10(spark, sf):
+    return trend_season.components(fx.serie_brand(spark, sf))
+
+
+@query("m11_seasonal_ar")
+def m11(spark, sf):
+    return seasonal_ar.predict(fx.serie_part(spark, sf), 30)
+
+
+@query("m11_seasonal_ar_test_metrics")
+def m11_metrics(spark, sf):
+    return seasonal_ar.evaluate(fx.serie_brand(spark, sf))
+
+
+@query("m12_diagnostics")
+def m12(spark, sf):
+    return seasonal_ar.diagnostics(seasonal_ar.fit_all(fx.serie_part(spark, sf)))
+
+
+@query("m16_order_importance")
+def m16_order(spark, sf):
+    return seasonal_ar.importance(seasonal_ar.fit_all(fx.serie_part(spark, sf)))
+
+
+@query("m16_component_importance", """
+  SELECT series_id, f.feature, f.importance::DOUBLE AS importance
+  FROM (SELECT series_id FROM serie_part GROUP BY series_id HAVING count(*) >= 10),
+       (VALUES ('Estacionalidad Anual', 0.35), ('Estacionalidad Semanal', 0.30),
+               ('Tendencia', 0.35)) f(feature, importance)""", ("serie_part",))
+def m16_components(spark, sf):
+    return trend_season.importance(fx.serie_part(spark, sf))
