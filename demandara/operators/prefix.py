@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialise
 
 
 def running_total(df: DataFrame, value: str, order: list, out: str,
@@ -16,11 +16,11 @@ def running_total(df: DataFrame, value: str, order: list, out: str,
     Rows are range-partitioned by the order columns, so many equal values spread by the
     tie-break column. Each partition gets its own running sum; the totals of the earlier
     partitions (one row per partition) are added as an offset. The range-partitioned rows
-    are written once to the checkpoint folder because both steps must see the same
+    are written once to the shared folder because both steps must see the same
     partition numbers. ``total`` names an optional column with the grand total.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n, *order)
+    ranged = materialise(df.repartitionByRange(n, *order)
                          .withColumn("_part", F.spark_partition_id()))
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
     # One row per partition (n rows in all), so this window is of fixed size.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import r2_band
 from ..operators.windows import ordered, rank_models, series
+from ..session import materialise
 from . import trees
 from .features import EXTENDED, FEATURES, centred, extended_features, feature_rows
 from .linear import add_up, dot, product_sums, solve
@@ -69,8 +70,8 @@ def folds_of(features: DataFrame, folds: int = 5) -> DataFrame:
     fold = F.lit(None).cast("int")
     for i, (hi_train, hi_test) in enumerate(bounds):
         fold = F.when((u > hi_train) & (u <= hi_test), i).otherwise(fold)
-    return (features.where(F.col("usable") & (m >= folds + EXTRA_ROWS))
-            .withColumns({"_seg": seg, "fold": fold}))
+    return materialise(features.where(F.col("usable") & (m >= folds + EXTRA_ROWS))
+                       .withColumns({"_seg": seg, "fold": fold}))
 
 
 def fold_table(features: DataFrame, folds: int = 5) -> DataFrame:
@@ -91,7 +92,7 @@ def linear_folds(rows: DataFrame, names: list[str], folds: int, method: str = "r
     keys = ["series_id", "_seg"]
     sums = product_sums(rows.where(F.col("_seg") < folds), keys, z, width)
     spread = sums.withColumn("fold", F.explode(F.sequence("_seg", F.lit(folds - 1))))
-    per_fold = add_up(spread, ["series_id", "fold"], width * (width + 1) // 2)
+    per_fold = add_up(spread, ["series_id", "fold"])
     tried = per_fold.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     coefs = solve(tried, ["series_id", "fold", "alpha"], width, method=method,
                   alpha_column="alpha", scale=scale)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.demand import daily_demand
 from ..operators.quality import QualityConfig, flag_iqr, flag_mad, flag_zscore, quality_score
+from ..session import materialise
 from . import backtest, crossval, forecast, registry, ridge, strategies
+from .features import feature_rows, temporal_split
 
 MIN_DAYS = 10
 
@@ -61,9 +63,12 @@ def run_forecast(rows: DataFrame, config: ForecastConfig | None = None, *,
                     "mad": flag_mad}[cfg.metodo_outliers]
             src = flag(src, [series], cantidad, cfg.calidad).where(
                 ~F.col("es_outlier")).select(*rows.columns)
-    daily = daily_demand(src, series, fecha, cantidad)
+        calidad = materialise(calidad)
+    daily = materialise(daily_demand(src, series, fecha, cantidad))
     counts = daily.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_dias"))
     names = src.select(F.col(series).alias("series_id")).distinct()
+    if calidad is not None:  # the report already has one row per series
+        names = calidad.select(F.col(series).alias("series_id"))
     status = names.join(counts, "series_id", "left")
     if calidad is not None:
         status = status.join(calidad.select(F.col(series).alias("series_id"), "is_valid",
@@ -75,8 +80,9 @@ def run_forecast(rows: DataFrame, config: ForecastConfig | None = None, *,
             .when(F.coalesce("n_dias", F.lit(0)) < MIN_DAYS, "Datos insuficientes")
             .otherwise("OK"))
     status = status.withColumn("estado", text)
-    good = daily.join(status.where("estado = 'OK'").select("series_id"), "series_id",
-                      "left_semi")
+    status = materialise(status)
+    good = materialise(daily.join(status.where("estado = 'OK'").select("series_id"),
+                                  "series_id", "left_semi"))
 
     seleccion = None
     if cfg.auto_seleccionar:
@@ -113,7 +119,8 @@ def _by_choice(good: DataFrame, best: DataFrame, cfg: ForecastConfig):
 def save_run(store: registry.ModelStore, daily: DataFrame, run_id: str | None = None,
              overwrite: bool = False, horizonte: int = 30) -> str:
     """Fit the linear model of every series and store coefficients and metadata."""
-    split, coefs = ridge.train(daily)
+    split = materialise(temporal_split(feature_rows(daily)))
+    coefs = materialise(ridge.fit_ridge(split))
     level = split.where("is_last").select("series_id", "media")
     meta = registry.metadata_rows(ridge.evaluate(split, coefs), daily, "linear",
                                   features=ridge.FEATURES, params={"alpha": 1.0},
@@ -128,7 +135,6 @@ def predict_from_saved(store: registry.ModelStore, run_id: str, daily: DataFrame
     Stored coefficients apply relative to the mean of the series they were fitted on, so
     that mean is stored with them.
     """
-    from .features import feature_rows, temporal_split
     coefs = store.load(run_id)
     split = temporal_split(feature_rows(daily, mode))
     points = ridge.start_points(split).drop("media").join(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import r2_band, trend_word
 from ..functions.calendar import short_weekday
+from ..session import materialise
 from . import ridge
 from .features import MIN_USABLE, feature_rows, temporal_split
 from .short_series import short_forecast, short_metrics, short_stats
@@ -22,11 +23,11 @@ def linear_forecast(daily: DataFrame, horizonte: int = 30, mode: str = "referenc
                     refit: bool = False) -> tuple[DataFrame, DataFrame]:
     """(predictions, metrics) of every series: the linear model where at least 5 usable
     rows exist, the short-series fallback elsewhere."""
-    split = temporal_split(feature_rows(daily, mode))
-    coefs = ridge.fit_ridge(split, refit=refit)
+    split = materialise(temporal_split(feature_rows(daily, mode)))
+    coefs = materialise(ridge.fit_ridge(split, refit=refit))
     points = ridge.start_points(split)
-    few = points.where(F.col("m") < MIN_USABLE).select("series_id")
-    stats = short_stats(daily.join(few, "series_id", "left_semi"))
+    few = split.where(F.col("m") < MIN_USABLE).select("series_id", "fecha", "cantidad")
+    stats = short_stats(few)
     pred = ridge.predict(points, coefs, horizonte).unionByName(
         short_forecast(stats, horizonte))
     metrics = (ridge.evaluate(split, coefs).withColumn("modelo", F.lit("linear"))
@@ -90,19 +91,17 @@ def mass_forecast(codes: DataFrame, daily: DataFrame, horizonte: int = 30,
     without history gets 'Sin datos', one whose numbers cannot be computed gets an error
     status, so no task fails for a single bad series. There is no cap on materials.
     """
-    return mass_table(codes, daily, *linear_forecast(daily, horizonte, mode))
+    return mass_table(codes, *linear_forecast(daily, horizonte, mode))
 
 
-def mass_table(codes: DataFrame, daily: DataFrame, pred: DataFrame,
-               metrics: DataFrame) -> DataFrame:
+def mass_table(codes: DataFrame, pred: DataFrame, metrics: DataFrame) -> DataFrame:
     """The mass-forecast table from any model's predictions and metrics."""
     total = pred.groupBy("series_id").agg(F.sum("prediccion").alias("_total"))
-    have = daily.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n"))
-    res = have.join(total, "series_id", "left").join(
-        metrics.select("series_id", "r2", "mae"), "series_id", "left")
+    # Every series with history has metrics, so they also tell which materials have none.
+    res = metrics.select("series_id", "r2", "mae").join(total, "series_id", "left")
     out = codes.join(res, codes["codigo"] == res["series_id"], "left")
     bad = F.col("_total").isNull() | F.isnan("_total") | F.col("mae").isNull()
-    status = (F.when(F.col("_n").isNull(), "Sin datos")
+    status = (F.when(F.col("series_id").isNull(), "Sin datos")
               .when(bad, "Error: sin resultado").otherwise("OK"))
     out = out.withColumn("estado", status)
     ok = F.col("estado") == "OK"

@@ -8,16 +8,14 @@ place, and only the sums travel.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHA = 1.0
 
 
-def _triangle(q: int) -> int:
-    return q * (q + 1) // 2
-
-
 def product_sums(rows: DataFrame, keys: list[str], z: Column, width: int) -> DataFrame:
     """Sums of z_i * z_j (upper triangle, row by row) per key; ``z`` is an array column of
     ``width`` numbers."""
@@ -53,14 +51,14 @@ def product_sums(rows: DataFrame, keys: list[str], z: Column, width: int) -> Dat
                 yield pa.RecordBatch.from_arrays([*taken, vec], names=[*keys, "g"])
 
     partial = packed.mapInArrow(add_products, f"{types}, g array<double>")
-    return add_up(partial, keys, _triangle(width))
+    return add_up(partial, keys)
 
 
-def add_up(sums: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """Add the vectors ``g`` of each key, element by element."""
-    cells = [F.sum(F.get("g", F.lit(i))).alias(f"g{i}") for i in range(length)]
-    return sums.groupBy(*keys).agg(*cells).select(
-        *keys, F.array(*[F.col(f"g{i}") for i in range(length)]).alias("g"))
+def add_up(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the vectors ``g`` of each key, element by element, combining before the shuffle."""
+    vectors = sums.select(*keys, array_to_vector("g").alias("v"))
+    return vectors.groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("v")).select(
+        *keys, vector_to_array("v").alias("g"))
 
 
 SOLUTION = ("n_train bigint, intercepto double, coef array<double>, "

@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import forecast, seasonal_ar, short_series, trees, trend_season
 from .features import MIN_USABLE, feature_rows, temporal_split
 
@@ -53,7 +54,7 @@ def _linear(daily, horizonte, mode="reference", refit=False) -> Result:
 
 def _trees(kind: str):
     def run_trees(daily, horizonte, mode="reference", **settings) -> Result:
-        split = temporal_split(feature_rows(daily, mode))
+        split = materialise(temporal_split(feature_rows(daily, mode)))
         model = trees.fit_trees(split, replace(trees.CONFIGS[kind], **settings))
         few = split.where(F.col("is_last") & (F.col("m") < MIN_USABLE)).select("series_id")
         return with_fallback(daily, few, trees.predict(split, model, horizonte),
@@ -68,18 +69,21 @@ def _few_rows(daily: DataFrame, least: int) -> DataFrame:
 
 def _trend(daily, horizonte, **settings) -> Result:
     cfg = trend_season.TrendConfig(**settings)
+    daily = materialise(daily)
     return with_fallback(daily, _few_rows(daily, trend_season.MIN_ROWS),
                          trend_season.predict(daily, horizonte, cfg),
                          trend_season.evaluate(daily, cfg), horizonte)
 
 
 def _seasonal_ar(daily, horizonte) -> Result:
+    daily = materialise(daily)
     return with_fallback(daily, _few_rows(daily, seasonal_ar.MIN_ROWS),
                          seasonal_ar.predict(daily, horizonte),
                          seasonal_ar.evaluate(daily), horizonte)
 
 
 def _short(daily, horizonte) -> Result:
+    daily = materialise(daily)
     stats = short_series.short_stats(daily)
     return (short_series.short_forecast(stats, horizonte),
             short_series.short_metrics(stats).select("series_id", *forecast.METRICS))

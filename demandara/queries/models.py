@@ -215,7 +215,7 @@ def short_mass(spark, sf):
     codes = cat.select("codigo", "descripcion").unionByName(ghost)
     daily = fx.serie_part(spark, sf)
     stats = short_series.short_stats(daily)
-    return forecast.mass_table(codes, daily, short_series.short_forecast(stats, 30),
+    return forecast.mass_table(codes, short_series.short_forecast(stats, 30),
                                short_series.short_metrics(stats))
 
 

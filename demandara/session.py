@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,7 @@ SESSION_CONF = {
 
 def build_session(app: str = "demandara", master: str | None = None,
                   **conf: str) -> SparkSession:
-    """A session with the settings above; ``conf`` keys use ``_`` for ``.``-free names as is."""
+    """A session with the settings above and the given ones."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -51,12 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back from there.
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
-    Used where two branches must see exactly the same physical partitions, and between
-    the rounds of iterative fits; a lost executor then re-reads files instead of
-    recomputing the whole history.
+    Used where several later steps read the same intermediate result (raw rows are then
+    scanned and windows computed once, and each step still reads only its columns), and
+    where two branches must see exactly the same partitions. A lost executor re-reads files
+    instead of recomputing the history.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
