@@ -49,7 +49,7 @@ def like_pattern(term: str, escape: bool = True) -> str:
 
 
 def number_problems(c: Column, *, minimum: float | None = None,
-                    maximum: float | None = None, integer: bool = False,
+                    maximum: float | None = None,
                     strictly_positive: bool = False) -> Column:
     """Array of reasons why a text value is not an acceptable number (empty = fine)."""
     text = F.trim(c.cast("string"))
@@ -67,6 +67,11 @@ def number_problems(c: Column, *, minimum: float | None = None,
         rules.append((~F.isnan(num) & (num > maximum), "sobre_maximo"))
     if strictly_positive:
         rules.append((num < 0.0001, "no_positivo"))
-    if integer:
-        rules.append((~F.isnan(num) & (num != F.floor(num)), "no_entero"))
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))
+
+
+def integer_value(c: Column) -> Column:
+    """Text as a whole number, decimals cut off; null when it is not a finite number."""
+    num = F.trim(c.cast("string")).try_cast("double")
+    whole = F.when(num >= 0, F.floor(num)).otherwise(F.ceil(num))
+    return F.when(F.abs(num) < float("inf"), whole).cast("long")

@@ -64,7 +64,7 @@ def c10(spark, sf):
     from ..sources.schemas import lower_names
     raw = lower_names(fx.consumo_crudo(spark, sf))
     return raw.select("codigosap", "cantidad", text.number_problems(
-        F.col("cantidad"), minimum=0, maximum=45, integer=True).alias("motivos"))
+        F.col("cantidad"), minimum=0, maximum=45).alias("motivos"))
 
 
 @query("c11_place_check", """
