@@ -201,6 +201,7 @@ def random_search(daily: DataFrame, modelo: str, n_iter: int = 50, folds: int =
             F.lit(modelo).alias("modelo"), F.lit(number).alias("intento"),
             params.alias("params"), "*")
         out = row if out is None else out.unionByName(row)
+    out = materialise(out)
     best = out.agg(F.min(F.struct("mae_mean", "intento")).alias("m")).select(
         "m.intento").scalar()
     return out.withColumn("mejor", F.col("intento") == best)

@@ -133,7 +133,8 @@ def d05(spark, sf):
 
 @query("d06_outlier_report", f"""
   SELECT codigo, 'iqr' AS metodo, 'cantidad' AS columna, n_outliers,
-         {re('100.0 * n_outliers / n', 'porcentaje')}, valores,
+         {re('100.0 * n_outliers / n', 'porcentaje')}, len(valores) AS n_valores,
+         {re('list_sum(valores)', 'suma_valores')},
          {re('q1', 'q1')}, {re('q3', 'q3')},
          {re('q1 - 1.5 * (q3 - q1)', 'limite_inferior')},
          {re('q3 + 1.5 * (q3 - q1)', 'limite_superior')}
@@ -152,14 +153,17 @@ def d06(spark, sf):
     flagged = quality.flag_iqr(fx.event_rows(spark, sf), ["codigo"], "cantidad")
     rep = quality.outlier_report(flagged, ["codigo"], "cantidad", "iqr", limits,
                                  places=4)
-    return rep.select("codigo", "metodo", "columna", "n_outliers", "porcentaje", "valores",
+    return rep.select("codigo", "metodo", "columna", "n_outliers", "porcentaje",
+                      F.size("valores").alias("n_valores"),
+                      F.bround(F.aggregate("valores", F.lit(0.0), lambda a, x: a + x), 4)
+                      .alias("suma_valores"),
                       *[F.col("limites")[x].alias(x) for x in limits])
 
 
 @query("d08_quantity_issues", """
-  SELECT codigo, list_filter([
+  SELECT codigo, concat_ws(',',
     CASE WHEN neg > 0 THEN 'negativos' END, CASE WHEN nul > n * 0.1 THEN 'nulos' END,
-    CASE WHEN cer > n * 0.5 THEN 'ceros' END], lambda x: x IS NOT NULL) AS tipos
+    CASE WHEN cer > n * 0.5 THEN 'ceros' END) AS tipos
   FROM (SELECT codigo, count(*) AS n, count(*) FILTER (q < 0) AS neg,
                count(*) - count(q) AS nul, count(*) FILTER (q = 0) AS cer
         FROM (SELECT codigo, CASE WHEN stock_actual BETWEEN 20 AND 25 THEN NULL
@@ -173,7 +177,8 @@ def d08(spark, sf):
         .alias("cantidad"))
     stats = quality.quantity_stats(rows, ["codigo"])
     issues = quality.quantity_issues(stats)
-    return stats.select("codigo", F.transform(issues, lambda i: i["tipo"]).alias("tipos"))
+    return stats.select("codigo", F.array_join(
+        F.transform(issues, lambda i: i["tipo"]), ",").alias("tipos"))
 
 
 @query("d09_quality_summary_text", """

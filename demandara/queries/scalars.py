@@ -54,17 +54,16 @@ def c09(spark, sf):
 
 
 @query("c10_number_checks", """
-  SELECT codigosap, cantidad, list_filter([
+  SELECT codigosap, cantidad, concat_ws(',',
     CASE WHEN cantidad IS NULL THEN 'nulo' END,
     CASE WHEN q IS NULL AND cantidad IS NOT NULL THEN 'no_numerico' END,
-    CASE WHEN q < 0 THEN 'bajo_minimo' END, CASE WHEN q > 45 THEN 'sobre_maximo' END],
-    lambda x: x IS NOT NULL) AS motivos
+    CASE WHEN q < 0 THEN 'bajo_minimo' END, CASE WHEN q > 45 THEN 'sobre_maximo' END) AS motivos
   FROM (SELECT *, TRY_CAST(cantidad AS DOUBLE) AS q FROM crudo)""", ("crudo",))
 def c10(spark, sf):
     from ..sources.schemas import lower_names
     raw = lower_names(fx.consumo_crudo(spark, sf))
-    return raw.select("codigosap", "cantidad", text.number_problems(
-        F.col("cantidad"), minimum=0, maximum=45).alias("motivos"))
+    problems = text.number_problems(F.col("cantidad"), minimum=0, maximum=45)
+    return raw.select("codigosap", "cantidad", F.array_join(problems, ",").alias("motivos"))
 
 
 @query("c11_place_check", """

@@ -33,22 +33,20 @@ def build_session(app: str = "demandara", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for ``checkpoint()``.
+    """Folder for intermediate tables that must outlive an executor.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``. Only where neither that
     setting nor a directory set earlier exists, and the master is local, a fresh local
     folder is made.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or spark.sparkContext.getCheckpointDir())
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="demandara-ckpt-",
                                       dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(configured)
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 

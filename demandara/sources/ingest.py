@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.text import zero_pad
 from .schemas import lower_names, missing_columns
 
-# Columns an upload must have, and date layouts tried in this order.
+# Columns an upload must have, and the shapes of a date with their layouts.
 REQUIRED = ["fecha", "codigosap", "centro", "almacen", "cantidad"]
-DATE_LAYOUTS = ["d/M/yyyy", "yyyy-MM-dd", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d",
-                "d/M/yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+DATE_LAYOUTS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
+    r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d",
+    r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy",
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$": "d.M.yyyy",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": "d/M/yyyy H:mm:ss",
+    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$": "yyyy-M-d H:mm:ss",
+    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$": "yyyy-M-d'T'H:mm:ss",
+}
 
 FEW_ROWS = 10
 
@@ -43,10 +51,18 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "csv", **options) -> Dat
 
 
 def parse_date(c: Column) -> Column:
-    """Day-first date; null when no layout fits."""
+    """Day-first date; null when no layout fits.
+
+    The text's shape picks the one layout to parse with: a failed parse costs far more than
+    a pattern match.
+    """
     text = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)).cast("date")
-                        for layout in DATE_LAYOUTS])
+    out = None
+    for shape, layout in DATE_LAYOUTS.items():
+        parsed = F.try_to_timestamp(text, F.lit(layout))
+        out = F.when(text.rlike(shape), parsed) if out is None else out.when(
+            text.rlike(shape), parsed)
+    return out.cast("date")
 
 
 def judge(raw: DataFrame) -> DataFrame:
@@ -57,14 +73,16 @@ def judge(raw: DataFrame) -> DataFrame:
         raise ValueError(f"missing columns: {', '.join(absent)}")
     has_text = "descripcion" in df.columns
     code = F.when(F.length(F.trim("codigosap")) > 0, F.trim("codigosap"))
-    typed = df.select(
+    # Unfolding a one-row array keeps the parsing in one place: later filters on the typed
+    # columns are not pushed below it, where every text would be parsed once more.
+    typed = df.select(F.inline(F.array(F.struct(
         parse_date(F.col("fecha")).alias("fecha"),
         code.alias("codigo"),
         zero_pad(F.trim("centro")).alias("centro"),
         zero_pad(F.trim("almacen")).alias("almacen"),
         F.trim("cantidad").try_cast("double").alias("cantidad"),
         (F.coalesce("descripcion", F.lit("")) if has_text else F.lit("")).alias("descripcion"),
-        F.col("fecha").alias("fecha_texto"), F.col("cantidad").alias("cantidad_texto"))
+        F.col("fecha").alias("fecha_texto"), F.col("cantidad").alias("cantidad_texto")))))
     typed = typed.withColumn("cantidad", F.when(~F.isnan("cantidad"), F.col("cantidad")))
     faults = F.array_compact(F.array(
         F.when(F.col("fecha").isNull(), "fecha_invalida"),

@@ -158,3 +158,16 @@ def test_impute_ffill_per_series(spark):
     assert [r.cantidad for r in got.collect()] == [1, 1, 3, 3, None, None, None]
     got = impute(df, "cantidad", "median", ["series_id"]).orderBy("series_id", "fecha")
     assert [r.cantidad for r in got.collect()] == [2, 1, 2, 3, 2, None, None]
+
+
+@pytest.mark.parametrize("metodo", ["iqr", "zscore", "mad"])
+def test_limits_from_counts_equal_limits_from_rows(spark, metodo):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k in "abc" for v in rng.integers(0, 30, 80)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    direct = {"iqr": quality.iqr_limits, "zscore": quality.zscore_limits,
+              "mad": quality.mad_limits}[metodo](df, ["k"], "v")
+    counted = quality.limits_of_counts(value_counts(df, ["k"], "v"), ["k"], metodo)
+    cols = ["k", "limite_inferior", "limite_superior"]
+    a, b = (x.select(*cols).toPandas().sort_values("k")[cols[1:]] for x in (direct, counted))
+    np.testing.assert_allclose(a, b, rtol=1e-9)
