@@ -224,15 +224,10 @@ def m19_short(spark, sf):
     return short_mass(spark, sf)
 
 
-@query("l07_mass_sort", """
-  SELECT row_number() OVER (ORDER BY codigo) AS posicion, codigo, estado
-  FROM (SELECT * FROM masivo ORDER BY codigo LIMIT 100)""", ("serie_part", "materiales"),
-       MASS)
+@query("l07_mass_sort", "SELECT codigo, demanda_total, estado FROM masivo ORDER BY codigo",
+       ("serie_part", "materiales"), MASS)
 def l07(spark, sf):
-    from pyspark.sql import Window
-    top = short_mass(spark, sf).orderBy("codigo").limit(100)
-    return top.select(F.row_number().over(Window.orderBy("codigo")).alias("posicion"),
-                      "codigo", "estado")
+    return short_mass(spark, sf).orderBy("codigo").select("codigo", "demanda_total", "estado")
 
 
 @query("a11_mass_kpis", f"""
