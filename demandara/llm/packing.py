@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,41 +29,71 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .arrow import map_arrow, ragged, slices, split_words, text_rows
+from .token_counts import byte_letters
 
 #: Distinct words whose ids a worker remembers before it starts anew.
-MEMO = 200_000
+MEMO = 400_000
+#: The pattern that cuts a word before the merges.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class WordIds:
     """Ids of texts from the ids of their words.
 
     No token of a vocabulary that drops white space crosses it, so a text's ids are those of
-    its white-space-separated words, each given by the library.
+    its white-space-separated words. Words of printable Latin-1 letters, where normalising is
+    lower-casing, go straight to the library's merges; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MEMO:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 1000):
-            part = new[k:k + 1000]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def plain(self, word: str) -> bytes | None:
+        """Packed ids of a word of printable Latin-1 characters without special strings."""
+        if not (word.isascii() or max(word) < "\u0100") or not word.isprintable():
+            return None
+        if "<" in word and any(s in word for s in self.special):
+            return None
+        word = word.lower()
+        pieces = (word,) if word.isalpha() else PIECES.findall(word)
+        if not word.isascii():
+            letters = self.letters
+            pieces = ["".join([letters[b] for b in p.encode()]) for p in pieces]
+        ids = [t.id for p in pieces for t in self.model.tokenize(p)]
+        return array("I", ids).tobytes()
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, packed as little-endian unsigned 32-bit numbers."""
+        known = self.known
+        if len(known) > MEMO:
+            known.clear()
+        rest = []
+        for w in words:
+            if w not in known:
+                ids = self.plain(w)
+                if ids is None:
+                    rest.append(w)
+                else:
+                    known[w] = ids
+        for k in range(0, len(rest), 1000):
+            part = rest[k:k + 1000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4")
-        return [self.known[w] for w in words]
+                known[w] = array("I", e.ids).tobytes()
+        return [known[w] for w in words]
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets per text and all ids, ``end_id`` after each text."""
         offsets, codes, words = split_words(texts)
         ids = self.of(words)
-        sizes = np.array([len(i) for i in ids], dtype=np.int64)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        pool = np.concatenate([*ids, np.empty(0, "<u4")])
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
         each = sizes[codes] if len(codes) else np.empty(0, np.int64)
         before = np.concatenate([[0], np.cumsum(each)])
         flat = pool[ragged(starts[codes], each)] if len(codes) else pool[:0]
