@@ -9,6 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack
+from .simhash import near_groups
+from .sketches import compare_with_next
 from .token_counts import token_counts
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +45,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_document_fingerprints")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_with_next(table(spark, folder, "documents"))
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents"))
