@@ -42,10 +42,10 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
                        *[F.col(f"`{c}`") for c in more])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "_text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "_text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice's texts hold about ``SLICE_BYTES`` (one text at least)."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

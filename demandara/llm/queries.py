@@ -8,7 +8,10 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contaminated
+from .language_id import learn, predict
 from .packing import pack
+from .secrets import digest, scan
 from .simhash import near_groups
 from .sketches import compare_with_next
 from .token_counts import token_counts
@@ -55,3 +58,19 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_secret_scans")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return digest(scan(table(spark, folder, "documents")))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return predict(docs, learn(docs))

@@ -32,7 +32,12 @@ WORDS = 5
 
 def shingle_hashes(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Offsets per text and the hashes of all word shingles, in order, repeats included."""
-    offsets, codes, distinct = split_words(pc.utf8_lower(texts))
+    return hashes_of(*split_words(pc.utf8_lower(texts)), words)
+
+
+def hashes_of(offsets: np.ndarray, codes: np.ndarray, distinct: list[str], words: int
+              ) -> tuple[np.ndarray, np.ndarray]:
+    """The same from words that are split already."""
     each = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     h = each[codes] if len(codes) else np.empty(0, np.uint64)
     n = np.diff(offsets)
