@@ -101,6 +101,33 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of many whole groups each, from batches sorted by a ``key`` without nulls."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch[key].to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(values != values[-1])[-1]) + 1 if values[0] != values[-1] else 0
+        if held and (cut or held[-1][key][-1].as_py() != values[0]):
+            first = cut if held[-1][key][-1].as_py() == values[0] else 0
+            # The group that is open ends where this batch's first key ends.
+            if first:
+                first = int(np.flatnonzero(values != values[0])[0])
+                held.append(batch.slice(0, first))
+            yield pa.Table.from_batches(held)
+            held = []
+            if cut > first:
+                yield pa.Table.from_batches([batch.slice(first, cut - first)])
+            held = [batch.slice(max(cut, first))]
+            continue
+        if cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

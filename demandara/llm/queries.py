@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contaminated
 from .language_id import learn, predict
+from .licenses import license_spans
+from .line_dedup import without_repeats
 from .packing import pack
 from .secrets import digest, scan
 from .simhash import near_groups
@@ -74,3 +76,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return predict(docs, learn(docs))
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return without_repeats(docs, counts=True)
+
+
+@query("op8_license_scans")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return license_spans(table(spark, folder, "documents"))
