@@ -13,6 +13,8 @@ from .language_id import learn, predict
 from .licenses import license_spans
 from .line_dedup import without_repeats
 from .packing import pack
+from .repeats import digest as repeats_digest
+from .repeats import remove_repeats
 from .secrets import digest, scan
 from .simhash import near_groups
 from .sketches import compare_with_next
@@ -87,3 +89,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_license_scans")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return license_spans(table(spark, folder, "documents"))
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats_digest(remove_repeats(table(spark, folder, "documents")))
