@@ -42,6 +42,13 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
                        *[F.col(f"`{c}`") for c in more])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str | int = "_text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice's texts hold about ``SLICE_BYTES`` (one text at least)."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrow import map_arrow, mix, slices, text_rows, whole_groups
+from .arrow import fresh, map_arrow, mix, slices, text_rows, whole_groups
 
 MIN_CHARS = 20
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
@@ -159,16 +159,16 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
     ``counts`` adds n_lines and n_removed.
     """
     gone = repeated_lines(docs, min_chars, id_col, text_col)
-    text = F.col(f"`{text_col}`").cast("string")
-    key = F.xxhash64(F.coalesce(text, F.lit("")))
-    joined = docs.withColumn("_key", key).join(
-        gone, docs[f"`{id_col}`"].eqNullSafe(gone["_id"]) & (F.col("_key") == gone["_t"]), "left")
+    text, hashed = F.col(f"`{text_col}`").cast("string"), fresh(docs, "_key")
+    joined = docs.withColumn(hashed, F.xxhash64(F.coalesce(text, F.lit("")))).join(
+        gone, docs[f"`{id_col}`"].eqNullSafe(gone["_id"]) & (F.col(hashed) == gone["_t"]), "left")
+    text = docs[f"`{text_col}`"].cast("string")
     parts = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone["_gone"])
     shorter = F.array_join(F.transform(stay, lambda k: F.get(parts, k)), "\n")
-    result = F.when(F.col("_gone").isNull(), text).otherwise(shorter)
+    result = F.when(gone["_gone"].isNull(), text).otherwise(shorter)
     columns = [result.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns]
     if counts:
         columns += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
+                    F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*columns)

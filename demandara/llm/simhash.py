@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrow import groups, map_arrow, slices, text_rows
+from .arrow import fresh, groups, map_arrow, slices, text_rows
 from .components import components
 
 #: Fingerprints in one tile at most.
@@ -53,15 +53,16 @@ def simhash(text: str, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """(_id, fp) per row; fp is the fingerprint as a signed long."""
+    """(_id, _t, fp) per row: a hash of the text and the fingerprint as a signed long."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             prints = np.array([simhash(t, words) for t in part["_text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part["_id"], pa.array(prints.view(np.int64))],
-                                             ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [part["_id"], part["_t"], pa.array(prints.view(np.int64))], ["_id", "_t", "fp"])
 
-    rows = text_rows(docs, id_col, text_col)
-    return map_arrow(rows, work, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long")
+    rows = text_rows(docs, id_col, text_col).withColumn("_t", F.xxhash64("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return map_arrow(rows, work, f"_id {kind}, _t long, fp long")
 
 
 @functools.lru_cache
@@ -179,45 +180,46 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """doc id, fingerprint (16 hex digits) and component_id per row."""
+def _grouped(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _t, fp, root, component_id) per row; root names the component."""
     prints = materialise(fingerprints(docs, words, id_col, text_col))
-    each = materialise(prints.groupBy("fp").agg(F.min("_id").alias("_id")))
+    each = materialise(prints.groupBy("fp").agg(F.min("_id").alias("_least")))
     labels = components(links(each.select("fp"), radius))
     rooted = materialise(each.join(labels, each["fp"] == labels["node"], "left").select(
-        "fp", "_id", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
-    answer = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(answer, "fp").select(
+        "fp", "_least", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return prints.join(rooted.join(least, "root").drop("_least"), "fp")
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """doc id, fingerprint (16 hex digits) and component_id per row."""
+    return _grouped(docs, words, radius, id_col, text_col).select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all columns of ``docs``.
+    """One document of each component with all columns of ``docs``: the one of the smallest id.
 
-    Rows that share an id are one document: one of them stays, the one of the least text. Rows
-    with a null id stay only where their component has no other id, and then once per fingerprint.
+    Where several rows of a component share that id (or have only null ids), the one with the
+    smallest text hash stays, and of rows repeated whole any one.
     """
-    found = materialise(near_groups(docs, words, radius, id_col, text_col)
-                        .withColumnRenamed(id_col, "_key"))
-    keep = (found.filter(F.col("_key").eqNullSafe(F.col("component_id")))
-            .groupBy("_key").agg(F.count("*").alias("_rows")))
-    stay = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(keep["_key"]))
-    if not keep.filter("_rows > 1").limit(1).count():
-        return stay.select(*[docs[f"`{c}`"] for c in docs.columns])
-    single = stay.filter("_rows = 1").select(*[docs[f"`{c}`"] for c in docs.columns])
-    again = stay.filter("_rows > 1").select(*[docs[f"`{c}`"] for c in docs.columns])
-    return single.union(_once(again, id_col, text_col))
-
-
-def _once(again: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per id (null ids: per text): the least by text, then by all columns."""
-    row = F.struct(F.col(f"`{text_col}`").alias("_t"),
-                   F.struct(*[F.col(f"`{c}`") for c in again.columns]).alias("_r"))
-    key = F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.col(f"`{text_col}`")))
-    least = again.groupBy(F.col(f"`{id_col}`").alias("_k"), key.alias("_n")).agg(
-        F.min(row).alias("_m"))
-    return least.select(*[F.col("_m._r").getField(c).alias(c) for c in again.columns])
+    found = _grouped(docs, words, radius, id_col, text_col).filter(
+        F.col("_id").eqNullSafe(F.col("component_id")))
+    keep = materialise(found.groupBy("root").agg(F.min(F.struct("_t", "_id")).alias("k"))
+                       .select("k.*").distinct())
+    key, text = fresh(docs, "_key"), F.col(f"`{text_col}`").cast("string")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(text, F.lit(""))))
+
+    def same(other: DataFrame):
+        return F.col(f"`{id_col}`").eqNullSafe(other["_id"]) & (F.col(key) == other["_t"])
+
+    stay = marked.join(keep, same(keep), "left_semi")
+    # Rows given twice are rare: where there are any, and only there, they are told apart.
+    twice = materialise(found.groupBy("_id", "_t").agg(F.count("*").alias("n")).filter("n > 1"))
+    if twice.limit(1).count():
+        stay = stay.join(twice, same(twice), "left_anti").union(
+            stay.join(twice, same(twice), "left_semi").dropDuplicates([id_col, key]))
+    return stay.select(*[f"`{c}`" for c in docs.columns])
