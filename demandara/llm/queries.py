@@ -93,4 +93,4 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_suffix_array_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats_digest(remove_repeats(table(spark, folder, "documents")))
+    return repeats_digest(remove_repeats(table(spark, folder, "documents"), hashed=True))

@@ -299,7 +299,7 @@ def plain_repeats(texts, length):
 
 
 def check_repeats(docs, rows, length, **more):
-    got = repeats.digest(repeats.remove_repeats(docs, length, **more)).collect()
+    got = repeats.digest(repeats.remove_repeats(docs, length, hashed=True, **more)).collect()
     want = [(k, *o) for (k, _), o in zip(rows, plain_repeats([t for _, t in rows], length))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -323,10 +323,26 @@ def test_repeats_in_documents(spark, sf, texts):
 
 def test_repeats_in_odd_rows(spark, odd, monkeypatch):
     check_repeats(odd, [r[:2] for r in ODD], 200)
-    monkeypatch.setattr(repeats, "PART", 300)  # texts cut into parts
+    whole = repeats.remove_repeats(odd.filter("doc_id in (5, 6)")).collect()
+    assert {(r["doc_id"], bytes(r["kept"])) for r in whole} == {(5, b""), (6, b"")}
     assert repeats.digest(repeats.remove_repeats(empty(spark))).count() == 0
 
 
+def test_repeats_in_parts(monkeypatch):
+    r = random.Random(4)
+    texts = [bytes(r.choices(b"abc", k=n)) for n in (5, 900, 0, 2000, 40)]
+    monkeypatch.setattr(repeats, "PART", 300)  # long texts are cut, short ones share a buffer
+    windows = collections.Counter()
+    for data, ends, rows, shifts in repeats._parts(texts, 20):
+        first, last, key, whole = repeats.stretches(data, ends, 20, 8)
+        for a, b in zip(first.tolist(), last.tolist()):
+            for p in range(a, b + 1):
+                text, at = texts[rows[a]], p + shifts[a]
+                assert data[p:p + 20] == text[at:at + 20]
+                windows[int(rows[a]), int(at)] += 1
+    assert windows == {(k, p): 1 for k, t in enumerate(texts) for p in range(len(t) - 19)}
+
+
 def test_family_merges_equal_levels(spark):
     family, seen = repeats.SuffixFamily(), collections.Counter()
     for k in range(6):
