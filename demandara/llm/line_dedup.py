@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .arrow import fresh, map_arrow, mix, slices, text_rows, whole_groups
+from .bloom import maybe_in
 
 MIN_CHARS = 20
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
@@ -131,12 +132,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
                         .withColumn("keys", _halves(F.col("line"))).drop("line"))
     first = materialise(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("place"),
                                                       F.first("keys").alias("keys")))
-    keyed = first.select("h1", "h2", "place", F.explode("keys").alias("key"))
+    keyed = first.select("h1", "h2", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    maybe = (keyed.join(met, "key", "left_semi").drop("key").distinct()
-             .select("h1", "h2", "place.*"))
-    # A candidate's text is fetched from its first place, which is one row.
-    whole = _lines(docs, id_col, text_col, min_chars).select("_id", "_t", "no", "line")
+    alike = keyed.join(met, "key", "left_semi").select("h1", "h2").distinct()
+    maybe = materialise(first.join(alike, ["h1", "h2"], "left_semi").select(
+        "h1", "h2", "place.*"))
+    # A candidate's text is fetched from its first place, which is one row. Few lines are
+    # candidates: the others are kept out of the shuffle.
+    whole = maybe_in(_lines(docs, id_col, text_col, min_chars).drop("h2"), "h1",
+                     maybe.select("h1")).drop("h1")
     texts = materialise(maybe.join(
         whole, maybe["id"].eqNullSafe(whole["_id"]) & (maybe["t"] == whole["_t"])
         & (maybe["no"] == whole["no"])).select(maybe["*"], "line").distinct())
