@@ -69,14 +69,19 @@ def learn(docs: DataFrame, teachers: int = TEACHERS, size: int = PROFILE, id_col
           text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Profiles by language from the labelled documents that aren't held out.
 
-    Counts are summed in Spark; ``size`` rows per language reach the driver.
+    Counts are summed in Spark; one count and ``size`` rows per language reach the driver. Texts
+    are counted where they are read: only n-gram counts move.
     """
     taught = docs.filter(F.col(f"`{lang_col}`").isNotNull() & ~held_out(id_col)).select(
         F.col(f"`{id_col}`").alias("_key"), F.col(f"`{lang_col}`").cast("string").alias("_lang"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    there = taught.groupBy("_lang").agg(F.count("*").alias("_n"))
+    there = {r["_lang"]: r["_n"] for r in
+             taught.groupBy("_lang").agg(F.count("*").alias("_n")).collect()}
+    if not there:
+        return {}
+    n = F.element_at(F.create_map(*[F.lit(x) for kv in there.items() for x in kv]), F.col("_lang"))
     draw = F.pmod(F.xxhash64("_key"), F.lit(1_000_000))
-    chosen = taught.join(there, "_lang").filter(draw * F.col("_n") < 1_000_000 * teachers)
+    chosen = taught.filter(draw * n < 1_000_000 * teachers)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
