@@ -19,19 +19,26 @@ def zero_pad(c: Column, width: int = 4) -> Column:
     return F.when(F.length(c) >= width, c).otherwise(F.lpad(c, width, "0"))
 
 
-def sanitize(c: Column, max_length: int = 255) -> Column:
-    """Trim, drop control characters, cut to ``max_length``; null becomes ''."""
+def cleaned(c: Column) -> Column:
+    """Trim and drop control characters; null becomes ''."""
     text = F.regexp_replace(F.trim(c.cast("string")), CONTROL_CHARS, "")
-    return F.coalesce(F.substring(text, 1, max_length), F.lit(""))
+    return F.coalesce(text, F.lit(""))
+
+
+def sanitize(c: Column, max_length: int = 255) -> Column:
+    """Clean-up, cut to ``max_length``."""
+    return F.substring(cleaned(c), 1, max_length)
 
 
-def valid_material_code(c: Column) -> Column:
-    return sanitize(c, 50).rlike(MATERIAL_CODE)
+def valid_material_code(c: Column, max_length: int = 50) -> Column:
+    """The whole cleaned text is a code of allowed characters, not longer than ``max_length``."""
+    text = cleaned(c)
+    return text.rlike(MATERIAL_CODE) & (F.length(text) <= max_length)
 
 
-def valid_place(c: Column) -> Column:
-    """Plant or warehouse code: something is left after clean-up (at most 10 characters)."""
-    return F.length(sanitize(c, 10)) > 0
+def valid_place(c: Column, max_length: int = 10) -> Column:
+    """Plant or warehouse code: something is left after clean-up, not longer than ``max_length``."""
+    return F.length(cleaned(c)).between(1, max_length)
 
 
 def search_term(term: str, max_length: int = 100) -> str:

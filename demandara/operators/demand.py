@@ -5,17 +5,26 @@ the shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import MONTH_LABELS, WEEKDAY_LABELS, add_calendar, week_label
 from ..sources.scans import consumption_window
 
 
+def finite(quantity: Column) -> Column:
+    """As a double; null for what is no finite number."""
+    value = quantity.try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
 def daily_demand(rows: DataFrame, series: str = "codigo", fecha: str = "fecha",
                  cantidad: str = "cantidad") -> DataFrame:
-    """(series_id, fecha, cantidad): total per day; a day with only nulls counts 0."""
-    qty = F.col(cantidad).try_cast("double")
+    """(series_id, fecha, cantidad): total per day; a day with only nulls counts 0.
+
+    Quantities that are no finite number count as null.
+    """
+    qty = finite(F.col(cantidad))
     return (rows.where(F.col(series).isNotNull() & F.col(fecha).isNotNull())
             .groupBy(F.col(series).alias("series_id"), F.col(fecha).alias("fecha"))
             .agg(F.coalesce(F.sum(qty), F.lit(0.0)).alias("cantidad")))

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import r2_band
-from ..operators.windows import ordered, rank_models, series
+from ..operators.windows import rank_models
 from ..session import materialise
 from . import trees
-from .features import EXTENDED, FEATURES, centred, extended_features, feature_rows
+from .features import FEATURES, centred, feature_rows
 from .linear import add_up, dot, product_sums, solve
 from .metrics import error_metrics
 
@@ -207,34 +207,26 @@ def random_search(daily: DataFrame, modelo: str, n_iter: int = 50, folds: int =
     return out.withColumn("mejor", F.col("intento") == best)
 
 
-def choosing_rows(daily: DataFrame, folds: int) -> DataFrame:
-    """Every row with the wider features, nulls as 0, and its fold."""
-    df = extended_features(daily).na.fill(0.0)
-    df = df.withColumns({
-        "usable": F.lit(True), "m": F.count(F.lit(1)).over(series()),
-        "u": F.row_number().over(ordered()), "media": F.avg("cantidad").over(series())})
-    return folds_of(df, folds)
-
-
 def auto_select(daily: DataFrame, modelos: list[str] | None = None, folds: int = 5,
                 criterio: str = "mae", configs: dict | None = None,
                 mode: str = "causal") -> DataFrame:
     """Best model of each series by cross-validated ``mae``, ``rmse`` or ``r2``.
 
-    The linear candidate uses the wider feature set with ridge; the ensembles are pooled.
-    One row per series and model with its position and, on the first, a recommendation.
+    All candidates see the same features, folds and test rows; with the causal features nothing
+    of the day itself is among them. The linear candidate is plain least squares per series; the
+    ensembles are pooled. One row per series and model with its position and, on the first, a
+    recommendation.
     """
     if criterio not in ("mae", "rmse", "r2"):
         raise ValueError(f"unknown criterion {criterio}")
     configs = {**trees.CONFIGS, **(configs or {})}
     modelos = modelos or ["random_forest", "gradient_boosting", "linear"]
+    rows = folds_of(feature_rows(daily, mode, lags="full"), folds)
     out = None
     for m in modelos:
         if m == "linear":
-            pairs = linear_folds(choosing_rows(daily, folds), EXTENDED, folds)
-            scores = fold_metrics(pairs, ["series_id"])
+            scores = fold_metrics(linear_folds(rows, FEATURES, folds, "ols"), ["series_id"])
         else:
-            rows = folds_of(feature_rows(daily, mode, lags="full"), folds)
             scores = tree_folds(rows, configs[m], folds)
         part = summary(scores, ["series_id"]).withColumn("modelo", F.lit(m))
         out = part if out is None else out.unionByName(part)

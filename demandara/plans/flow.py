@@ -29,13 +29,17 @@ class ForecastConfig:
     candidatos: list[str] | None = None
     backtest: bool = False
     n_pasos: int = 3
+    ventana_backtest: int | None = None  # days; the horizon, at most 30, unless given
     calidad: QualityConfig = field(default_factory=QualityConfig)
     modelo_kwargs: dict = field(default_factory=dict)
 
 
 @dataclass
 class ForecastRun:
-    """Results; every part is lazy and covers all series. ``estado`` has a row per series."""
+    """Results for all series, computed while the run is called; ``estado`` has a row per series.
+
+    ``backtest`` holds the series whose own model has a back-test (``backtest.MODELS``).
+    """
     estado: DataFrame
     predicciones: DataFrame
     metricas: DataFrame
@@ -53,6 +57,9 @@ def run_forecast(rows: DataFrame, config: ForecastConfig | None = None, *,
     others.
     """
     cfg = config or ForecastConfig()
+    if cfg.backtest and not cfg.auto_seleccionar and cfg.modelo not in backtest.MODELS:
+        raise ValueError(f"no back-test of {cfg.modelo}; there is one of "
+                         f"{', '.join(backtest.MODELS)}")
     src = rows.where(F.col(series).isNotNull())
     calidad = None
     if cfg.validar:
@@ -94,9 +101,15 @@ def run_forecast(rows: DataFrame, config: ForecastConfig | None = None, *,
     pred = forecast.intervals_by_level(pred, metrics, cfg.nivel_confianza)
     tested = None
     if cfg.backtest:
-        model = cfg.modelo if cfg.modelo in backtest.MODELS else "linear"
-        pairs = backtest.walk_forward(good, model, min(cfg.horizonte, 30), cfg.n_pasos)
-        tested = backtest.aggregate_steps(backtest.step_metrics(pairs))
+        window = cfg.ventana_backtest or min(cfg.horizonte, 30)
+        parts = {cfg.modelo: good}
+        if seleccion is not None:  # each series by the model chosen for it
+            parts = {m: good.join(best.where(F.col("modelo") == m), "series_id", "left_semi")
+                     for m in backtest.MODELS}
+        for model, part in parts.items():
+            pairs = backtest.walk_forward(part, model, window, cfg.n_pasos)
+            steps = backtest.aggregate_steps(backtest.step_metrics(pairs))
+            tested = steps if tested is None else tested.unionByName(steps)
     return ForecastRun(status, pred, metrics, calidad, tested, seleccion)
 
 

@@ -92,13 +92,17 @@ def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge"
             w = np.zeros_like(b)
             diag = np.einsum("sii->si", a)
             safe = np.where(diag > 0, diag, 1.0)
+            left = np.arange(len(b))  # each problem stops by itself
             for _ in range(1000):
-                before = w.copy()
+                before, now = w[left], w[left]
                 for j in range(p):
-                    r = b[:, j] - np.einsum("sk,sk->s", a[:, j, :], w) + diag[:, j] * w[:, j]
-                    step = np.sign(r) * np.maximum(np.abs(r) - al * n, 0.0) / safe[:, j]
-                    w[:, j] = np.where(diag[:, j] > 0, step, 0.0)
-                if np.max(np.abs(w - before)) < 1e-9:
+                    r = (b[left, j] - np.einsum("sk,sk->s", a[left, j, :], now)
+                         + diag[left, j] * now[:, j])
+                    step = np.sign(r) * np.maximum(np.abs(r) - (al * n)[left], 0.0)
+                    now[:, j] = np.where(diag[left, j] > 0, step / safe[left, j], 0.0)
+                w[left] = now
+                left = left[np.max(np.abs(now - before), axis=1, initial=0.0) >= 1e-9]
+                if not len(left):
                     break
             return w
 
@@ -129,13 +133,22 @@ def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge"
                     al = part.column(part.schema.get_field_index(alpha_column)).to_numpy()
                 else:
                     al = np.full(s, alpha)
+                # A problem with a number that is not finite must not stop the others.
+                bad = ~(np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1))
+                a[bad], b[bad] = 0.0, 0.0
                 if method == "ridge":
-                    w = np.linalg.solve(a + al[:, None, None] * np.eye(p), b[:, :, None])[..., 0]
+                    full = a + al[:, None, None] * np.eye(p)
+                    try:
+                        w = np.linalg.solve(full, b[:, :, None])[..., 0]
+                    except np.linalg.LinAlgError:  # one is singular: least-norm solutions
+                        w = np.einsum("sij,sj->si", np.linalg.pinv(
+                            full, rcond=1e-10, hermitian=True), b)
                 elif method == "ols":
                     w = np.einsum("sij,sj->si", np.linalg.pinv(a, rcond=1e-10,
                                                                hermitian=True), b)
                 else:
                     w = absolute_penalty(a, b, n, al)
+                w[bad] = np.nan
                 coef = w / div
                 intercept = mean[:, p] - np.einsum("si,si->s", coef, mean[:, :p])
                 syy = np.maximum(cross[:, p, p], 0.0)

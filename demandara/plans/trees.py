@@ -48,14 +48,6 @@ CONFIGS = {
 }
 
 
-def sized_to(cfg: TreeConfig, n: int) -> TreeConfig:
-    """Fewer trees and less depth for a small number of train rows."""
-    depth_by = 3 if cfg.kind == "forest" else 5
-    floor = 3 if cfg.kind == "forest" or cfg.depth > 5 else 2
-    return replace(cfg, trees=min(cfg.trees, max(10, 2 * n)),
-                   depth=min(cfg.depth, max(floor, n // depth_by)))
-
-
 def relative_rows(split: DataFrame) -> DataFrame:
     """Add the train mean and deviation of each series and the series-level features."""
     w = series()

@@ -185,12 +185,11 @@ def material_cap(consumo: DataFrame, limite: int | None = None, *,
                  position: Column | None = None) -> DataFrame:
     """Distinct materials, the first ``limite`` by ``position`` (default: by code).
 
-    ``limite`` is the report's own size (50 by default in the screen, at most 500); jobs
-    over all series leave it off.
+    ``limite`` is the report's own size and holds as given; jobs over all series leave it off.
     """
     position = F.col("codigo") if position is None else position
     codes = (consumo.where(F.col("codigo").isNotNull()).groupBy("codigo")
              .agg(F.min(position).alias("_pos")))
     if limite is not None:
-        codes = codes.orderBy("_pos", "codigo").limit(min(limite, 500))
+        codes = codes.orderBy("_pos", "codigo").limit(limite)
     return codes.select("codigo")

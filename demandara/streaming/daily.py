@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.demand import finite
+
 
 def daily_demand_stream(rows: DataFrame, series: str = "codigo", ts: str = "ts",
                         cantidad: str = "cantidad", late: str = "2 days") -> DataFrame:
     day = F.window(F.col(ts), "1 day")
-    return (rows.withWatermark(ts, late)
+    return (rows.where(F.col(series).isNotNull()).withWatermark(ts, late)
             .groupBy(F.col(series).alias("series_id"), day.alias("_dia"))
-            .agg(F.coalesce(F.sum(F.col(cantidad).cast("double")), F.lit(0.0))
+            .agg(F.coalesce(F.sum(finite(F.col(cantidad))), F.lit(0.0))
                  .alias("cantidad"))
             .select("series_id", F.to_date("_dia.start").alias("fecha"), "cantidad"))
 

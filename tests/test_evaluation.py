@@ -118,6 +118,8 @@ def test_random_search_and_choice(spark):
              for k in ("random_forest", "gradient_boosting")}
     got = crossval.auto_select(df, folds=2, configs=small).toPandas()
     assert len(got) == 9 and (got.posicion == 1).sum() == 3
+    # Noise can't be predicted: a candidate near one would see the day it predicts.
+    assert got.r2_mean.max() < 0.6
     with pytest.raises(ValueError):
         crossval.auto_select(df, criterio="otro")
 
@@ -202,3 +204,43 @@ def test_purge_keeps_the_best(spark, tmp_path):
     assert {r.model_id for r in fresh.metadata().collect()} == {"x-m2", "x-m3"}
     assert registry.list_models(store.metadata(), "desconocido").count() == 0
     assert registry.compare_saved(store.metadata().limit(1)).count() == 0
+
+
+def test_backtest_of_an_unknown_model_is_refused(spark):
+    from demandara.plans import flow
+    rows = frame(spark, random_series(80, 1, "a")).withColumnRenamed("series_id", "codigo")
+    with pytest.raises(ValueError):
+        flow.run_forecast(rows, flow.ForecastConfig(modelo="prophet", backtest=True))
+
+
+def test_a_series_without_finite_numbers_stops_nothing(spark):
+    from demandara.operators.demand import daily_demand
+    from demandara.plans import linear
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("a", "2024-01-01", float("nan")), ("a", "2024-01-01", 2.0),
+                                ("b", "2024-01-01", float("inf"))], "codigo string, fecha string, "
+                               "cantidad double")
+    got = {r.series_id: r.cantidad for r in daily_demand(df).collect()}
+    assert got == {"a": 2.0, "b": 0.0}
+    rows = spark.createDataFrame([("good", float(k), 3.0 * k + 1) for k in range(8)]
+                                 + [("bad", float("nan"), 1.0), ("flat", 1.0, 2.0)],
+                                 "series_id string, x double, y double")
+    for how in ({"method": "ols"}, {"method": "ridge", "alpha": 0.0}, {"method": "lasso",
+                                                                       "alpha": 1e-9}):
+        fits = linear.fit(rows, ["series_id"], F.array(F.lit(1.0), F.col("x"), F.col("y")), 3, **how)
+        coef = {r.series_id: r.coef[0] for r in fits.collect()}
+        assert coef["good"] == pytest.approx(3.0, rel=1e-4)
+
+
+def test_whole_codes_are_judged(spark):
+    from demandara.functions import text
+    from pyspark.sql import functions as F
+    from demandara.sources.scans import material_cap
+    codes = ["A" * 50, "A" * 51, "A" * 50 + " b", "x" * 10, "x" * 11, ""]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    got = [tuple(r) for r in df.select(text.valid_material_code(F.col("c")),
+                                       text.valid_place(F.col("c"))).collect()]
+    assert got == [(True, False), (False, False), (False, False), (True, True), (True, False),
+                   (False, False)]
+    many = spark.range(700).select(F.col("id").cast("string").alias("codigo"))
+    assert material_cap(many, 600).count() == 600

@@ -234,8 +234,6 @@ def test_pooled_trees(spark):
     model = trees.fit_trees(split, trees.TreeConfig("forest", trees=5, depth=3))
     imp = trees.importance(model, spark).toPandas()
     assert imp.importance.sum() == pytest.approx(1.0)
-    cfg = trees.sized_to(trees.CONFIGS["random_forest"], 6)
-    assert (cfg.trees, cfg.depth) == (12, 3)
 
 
 @pytest.mark.parametrize("name", ["linear", "prophet", "arima", "short"])
