@@ -19,6 +19,7 @@ from .secrets import digest, scan
 from .simhash import near_groups
 from .sketches import compare_with_next
 from .token_counts import token_counts
+from .twins import CONTAMINATED, WITHOUT_REPEATS
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -64,7 +65,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
 
 
-@query("op2_benchmark_decontamination")
+@query("op2_benchmark_decontamination", CONTAMINATED)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -80,7 +81,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return predict(docs, learn(docs))
 
 
-@query("op4_line_dedup")
+@query("op4_line_dedup", WITHOUT_REPEATS)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return without_repeats(docs, counts=True)

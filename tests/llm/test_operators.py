@@ -547,3 +547,34 @@ def test_pipeline_on_odd_rows(spark, odd, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
     assert docs.columns[-1] == "offset"
+
+
+@pytest.mark.parametrize("key", ["op2_benchmark_decontamination", "op4_line_dedup"])
+@pytest.mark.parametrize("folder", ["given", "odd"])
+def test_same_as_sql(spark, sf, tmp_path, key, folder):
+    """Whole given tables, and one with nulls, ties, repeated rows, short and non-ASCII texts."""
+    import duckdb
+
+    from tools.check_oracle import rows
+    if folder == "odd":
+        item = "Uno dos tres cuatro cinco seis siete ocho nueve diez"
+        docs = [(1, "la línea más larga de todas\ncorta\nla linea más larga de todas"),
+                (2, None), (3, ""), (4, f"antes {item} después\n\n  la línea más larga de todas"),
+                (5, "uno, dos; tres CUATRO cinco seis siete ocho nueve"), (6, "ab cd"),
+                (7, "la línea más larga de toda\nxla línea más larga de todas"),
+                (8, "ß y más\nuna cadena que solo está aquí"), (9, "ab cd\n" + item)]
+        items = [(1, item), (2, "AB cd"), (3, ""), (4, None), (5, item), (6, "ß y")]
+        sf = str(tmp_path)
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(
+            f"{sf}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(
+            f"{sf}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        path = f"{sf}/{name}.parquet" + ("/*.parquet" if folder == "odd" else "")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    got = QUERIES[key].run(spark, sf)
+    cur = con.execute(QUERIES[key].sql)
+    names = [d[0] for d in cur.description]
+    wanted = rows(names, cur.fetchall())
+    assert wanted[1] and rows(got.columns, got.collect()) == wanted
