@@ -2,77 +2,129 @@
 
 For one column the mean depth over all random-cut trees has a closed form: a gap between two
 neighbouring values is an ancestor of value v when it is the first cut drawn in the stretch
-from the gap to v, which has probability gap / distance. So no trees are drawn. Each group
-is described by a bounded sample of its distinct values (the same bound the usual forest
-uses per tree); the sample's depths are looked up for every value, and the share
-``contamination`` of rows with the least depth is flagged.
+from the gap to v, which has probability gap / distance. So no trees are drawn, and all
+distinct values of a group count.
+
+A group is described by one row per value band (256 per doubling): the band's smallest and
+largest value and its number of distinct values, taken as evenly spaced between the two. That
+is exact for bands of one or two values and for whole numbers without gaps. The number of bands
+follows the range of the values, not the number of rows. Gaps next to a value's own band and the
+neighbouring bands are taken at the value itself, those farther away by interpolation between
+the two ends of its band. The share ``contamination`` of rows with the least depth is flagged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import DEFAULTS, QualityConfig
-from .quantiles import quantiles_of_counts, value_counts
-
-SAMPLE = 256
-
-
-def depth_functions():
-    """(depths of a sorted sample, Arrow mapper over one row per group).
-
-    Functions are built here, with their imports inside, so that tasks receive them whole
-    and executors need only NumPy and Arrow.
-    """
-    def mean_depths(values):
-        import numpy as np
-
-        n = len(values)
-        if n < 2:
-            return np.zeros(n)
-        gap = np.diff(values)
-        v = values[:, None]
-        # Gap j lies between values j and j + 1; its far end from v is j (on the left) or
-        # j + 1 (on the right).
-        left = np.arange(n - 1)[None, :] < np.arange(n)[:, None]
-        far = np.where(left, v - values[None, :-1], values[None, 1:] - v)
-        return (gap[None, :] / far).sum(axis=1)
-
+from .quantiles import quantiles_of_counts, value_band, value_counts
+
+EULER = 0.5772156649015329
+
+
+def harmonic(x, log=F.log):
+    """1 + 1/2 + ... + 1/x, continued to all x >= 0; a column or an array with its ``log``."""
+    y = x + 7.0
+    return (log(y) - 0.5 / y - 1.0 / (12.0 * y * y) + 1.0 / (120.0 * y * y * y * y)
+            - 1.0 / (252.0 * y * y * y * y * y * y) + EULER
+            - sum(1.0 / (x + float(m)) for m in range(1, 7)))
+
+
+def stretch(distance, width, n, log=F.log):
+    """Part of the depth due to ``n`` evenly spaced values over ``width``, seen from outside."""
+    x = distance * (n - 1) / width
+    return harmonic(x + n - 1, log) - harmonic(x, log)
+
+
+def far_sums(lo, hi, n):
+    """Depth at both ends of every band due to all that lies beyond the neighbouring bands."""
+    import numpy as np
+
+    size = len(lo)
+    n = n.astype("float64")
+    dense = np.flatnonzero(n > 1)
+    width, count = (hi - lo)[dense], n[dense]
+    gap, left, right = lo[1:] - hi[:-1], hi[:-1], lo[1:]
+    band, between = dense[None, :], np.arange(size - 1)[None, :]
+    out = []
+    for ends in (lo, hi):
+        total = np.zeros(size)
+        for a in range(0, size, 256):
+            i = np.arange(a, min(a + 256, size))[:, None]
+            v = ends[a:a + 256][:, None]
+            for far, span in ((between < i - 1, v - left), (between > i, right - v)):
+                total[a:a + 256] += np.where(far, gap / np.where(far, span, 1.0), 0.0).sum(axis=1)
+            for far, span in ((band < i - 1, v - hi[dense]), (band > i + 1, lo[dense] - v)):
+                part = stretch(np.where(far, span, 1.0), width, count, np.log)
+                total[a:a + 256] += np.where(far, part, 0.0).sum(axis=1)
+        out.append(total)
+    return out
+
+
+def _band_rows(keys: list[str]):
+    """Arrow mapper from one row per group, with all its bands, to one row per band."""
     def mapper(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            depths = [mean_depths(np.asarray(x, dtype="float64")).tolist()
-                      for x in b.column("_vals").to_pylist()]
+            cells = b.column("_cells")
+            sizes = cells.value_lengths().to_numpy(zero_copy_only=False)
+            flat = cells.flatten()
+            lo, hi, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "n"))
+            ends = np.cumsum(sizes)
+            far = [far_sums(lo[e - s:e], hi[e - s:e], n[e - s:e]) for s, e in zip(sizes, ends)]
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            joined = [np.concatenate([f[k] for f in far]) if far else np.zeros(0) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(depths, pa.list_(pa.float64()))],
-                names=[*b.schema.names, "_depths"])
-
-    return mean_depths, mapper
+                [*[b.column(k).take(row) for k in keys], flat.field("b"), pa.array(lo),
+                 pa.array(hi), pa.array(n), *[pa.array(j) for j in joined]],
+                names=[*keys, "_b", "_lo", "_hi", "_k", "_far_lo", "_far_hi"])
+
+    return mapper
+
+
+def band_table(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group and band: its ends, size, neighbours and far sums."""
+    cells = counts.groupBy(*keys, "_b").agg(
+        F.min("_v").cast("double").alias("lo"), F.max("_v").cast("double").alias("hi"),
+        F.count(F.lit(1)).alias("n"))
+    groups = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct(F.col("_b").alias("b"), "lo", "hi", "n"))).alias("_cells"))
+    around = F.transform("_cells", lambda c, i: F.struct(
+        c["b"].alias("b"),
+        F.get("_cells", i - 1).alias("prev"), F.get("_cells", i + 1).alias("next")))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema if f.name in keys]
+    far = groups.mapInArrow(_band_rows(keys), ", ".join(
+        [*kinds, "_b long", "_lo double", "_hi double", "_k long", "_far_lo double",
+         "_far_hi double"]))
+    near = groups.select(*keys, F.inline(around)).withColumnRenamed("b", "_b")
+    return far.join(near, [*keys, "_b"])
+
+
+def _depth() -> Column:
+    v = F.col("_v").cast("double")
+    lo, hi, n = F.col("_lo"), F.col("_hi"), F.col("_k")
+    width = hi - lo
+    at = (v - lo) / F.when(width > 0, width)
+    own = harmonic(at * (n - 1)) + harmonic((1 - at) * (n - 1))
+    far = F.col("_far_lo") + (F.col("_far_hi") - F.col("_far_lo")) * F.coalesce(at, F.lit(0.0))
+    total = far + F.coalesce(own, F.lit(0.0))
+    for side, gap, distance in (("prev", lo - F.col("prev.hi"), v - F.col("prev.hi")),
+                                ("next", F.col("next.lo") - hi, F.col("next.lo") - v)):
+        span = F.col(f"{side}.hi") - F.col(f"{side}.lo")
+        dense = stretch(distance, F.when(span > 0, span), F.col(f"{side}.n"))
+        total = total + F.coalesce(gap / distance, F.lit(0.0)) + F.coalesce(dense, F.lit(0.0))
+    return total
 
 
 def value_depths(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Depth of every distinct value of every group, with its number of rows.
-
-    Ranking by a hash picks the sample; Spark keeps at most ``SAMPLE`` candidates per group
-    in each task before the shuffle. A value takes the depth of the sampled value at or
-    below it (the lowest one below the sample's range).
-    """
-    counts = value_counts(rows, keys, column)
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    pick = F.row_number().over(group.orderBy(F.xxhash64("_v"), "_v"))
-    sample = (counts.withColumn("_rn", pick).where(F.col("_rn") <= SAMPLE)
-              .groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_vals")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema)
-    depths = sample.mapInArrow(depth_functions()[1], f"{schema}, `_depths` array<double>")
-    joined = counts.join(depths, keys) if keys else counts.withColumns(
-        {c: depths.select(c).scalar() for c in ("_vals", "_depths")})
-    below = F.size(F.filter("_vals", lambda x: x <= F.col("_v")))
-    depth = F.get(F.col("_depths"), F.greatest(below - 1, F.lit(0)))
-    return joined.select(*keys, "_v", "_n", depth.alias("profundidad"))
+    """Depth of every distinct value of every group, with its number of rows."""
+    counts = value_counts(rows, keys, column).withColumn("_b", value_band(F.col("_v")))
+    return counts.join(band_table(counts, keys), [*keys, "_b"]).select(
+        *keys, "_v", "_n", _depth().alias("profundidad"))
 
 
 def flag_isolation(rows: DataFrame, keys: list[str], column: str,

@@ -116,8 +116,13 @@ def test_missing_column_is_critical(spark):
     assert not r.is_valid and r.criticos == 1
 
 
-def test_mean_depth_equals_simulated_trees():
-    depths, _ = isolation.depth_functions()
+def depths_of(spark, values, keys=("k",)):
+    df = spark.createDataFrame([("a", float(v)) for v in values], "k string, v double")
+    return {r._v: r.profundidad for r in
+            isolation.value_depths(df, list(keys), "v").collect()}
+
+
+def test_mean_depth_equals_simulated_trees(spark):
     values = np.array([0.0, 1.0, 1.5, 2.0, 9.0])
     rng = np.random.default_rng(0)
     total = np.zeros(len(values))
@@ -137,7 +142,24 @@ def test_mean_depth_equals_simulated_trees():
     trees = 20000
     for _ in range(trees):
         grow(list(range(len(values))), 0)
-    np.testing.assert_allclose(depths(values), total / trees, rtol=0.03)
+    found = depths_of(spark, values)
+    np.testing.assert_allclose([found[v] for v in values], total / trees, rtol=0.03)
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_depth_counts_every_value(spark, keys):
+    """Against the sum over all gaps, with dense bands, a negative side and far values."""
+    rng = np.random.default_rng(4)
+    values = np.unique(np.concatenate([
+        np.arange(3000.0), rng.integers(-900, 0, 300), [1e6, 1e9]]))
+    found = depths_of(spark, values, keys)
+    gap = np.diff(values)
+    wanted = [(gap[:i] / (v - values[:i])).sum() + (gap[i:] / (values[i + 1:] - v)).sum()
+              for i, v in enumerate(values)]
+    got = np.array([found[v] for v in values])
+    np.testing.assert_allclose(got, wanted, rtol=0.05)
+    np.testing.assert_allclose(got[-2:], wanted[-2:], rtol=1e-3)
+    assert found[1e9] < found[1e6] < got[:-2].min()
 
 
 def test_isolation_flags_the_far_values(spark):
