@@ -18,7 +18,7 @@ from ..functions.bands import r2_band
 from ..operators.windows import rank_models
 from ..session import materialise
 from . import trees
-from .features import FEATURES, centred, feature_rows
+from .features import FEATURES, MIN_USABLE, centred, feature_rows, temporal_split
 from .linear import add_up, dot, product_sums, solve
 from .metrics import error_metrics
 
@@ -63,19 +63,27 @@ def fold_bounds(m: Column, folds: int) -> list[tuple[Column, Column]]:
 
 def folds_of(features: DataFrame, folds: int = 5) -> DataFrame:
     """Usable rows with ``_seg`` (first fold that trains on them, from 0) and ``fold`` (the
-    fold that tests them, or null). Series with fewer than folds + 5 rows are left out."""
+    fold that tests them, or null).
+
+    Series with fewer than folds + 5 usable rows, but enough for a fit, get one simple split
+    instead: fold 0 tests their last rows and nothing else does (``n_splits`` 1 in summaries).
+    """
     m, u = F.col("m"), F.col("u")
     bounds = fold_bounds(m, folds)
     seg = sum((F.when(u > hi_train, 1).otherwise(0) for hi_train, _ in bounds), F.lit(0))
     fold = F.lit(None).cast("int")
     for i, (hi_train, hi_test) in enumerate(bounds):
         fold = F.when((u > hi_train) & (u <= hi_test), i).otherwise(fold)
-    return materialise(features.where(F.col("usable") & (m >= folds + EXTRA_ROWS))
-                       .withColumns({"_seg": seg, "fold": fold}))
+    short = m < folds + EXTRA_ROWS
+    split = temporal_split(features.where(F.col("usable") & (m >= MIN_USABLE)))
+    return materialise(split.withColumns({
+        "_seg": F.when(short, F.when(F.col("is_train"), 0).otherwise(folds)).otherwise(seg),
+        "fold": F.when(short, F.when(F.col("is_test"), 0)).otherwise(fold)})
+        .drop("is_train", "is_test"))
 
 
 def fold_table(features: DataFrame, folds: int = 5) -> DataFrame:
-    """Train and test rows of every fold of every series."""
+    """Train and test rows of every fold of every series that has rows enough for folds."""
     sizes = features.where("usable").groupBy("series_id").agg(F.max("m").alias("m"))
     bounds = fold_bounds(F.col("m"), folds)
     rows = F.array(*[F.struct(F.lit(i).alias("fold"), a.alias("n_train"),

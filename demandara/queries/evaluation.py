@@ -245,7 +245,7 @@ SMALL = {"random_forest": replace(trees.CONFIGS["random_forest"], trees=20, dept
 
 @query("e15_auto_select")
 def e15(spark, sf):
-    return crossval.auto_select(fx.serie_brand(spark, sf), folds=3, configs=SMALL)
+    return crossval.auto_select(fx.serie_brand(spark, sf), configs=SMALL)
 
 
 @query("e20_baselines", f"""

@@ -244,3 +244,18 @@ def test_whole_codes_are_judged(spark):
                    (False, False)]
     many = spark.range(700).select(F.col("id").cast("string").alias("codigo"))
     assert material_cap(many, 600).count() == 600
+
+
+def test_short_series_get_a_simple_split(spark):
+    """Eight usable rows are too few for five folds: one split, its test rows never trained on."""
+    rng = np.random.default_rng(8)
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=d), float(rng.integers(5, 50)))
+            for s, n in (("corta", 38), ("larga", 90), ("minima", 32)) for d in range(n)]
+    daily = spark.createDataFrame(rows, "series_id string, fecha date, cantidad double")
+    out = {r.series_id: r for r in crossval.temporal_cv(daily).collect()}
+    assert {k: r.n_splits for k, r in out.items()} == {"corta": 1, "larga": 5}
+    assert np.isfinite(out["corta"].mae_mean)
+    folds = crossval.folds_of(crossval.feature_rows(daily, lags="full")).toPandas()
+    short = folds[folds.series_id == "corta"]
+    assert (short._seg[short.fold.notna()] == 5).all() and (short._seg[short.fold.isna()] == 0).all()
+    assert len(short) == 8 and short.fold.notna().sum() == 2
