@@ -26,10 +26,11 @@ EULER = 0.5772156649015329
 
 def harmonic(x, log=F.log):
     """1 + 1/2 + ... + 1/x, continued to all x >= 0; a column or an array with its ``log``."""
-    y = x + 7.0
-    return (log(y) - 0.5 / y - 1.0 / (12.0 * y * y) + 1.0 / (120.0 * y * y * y * y)
-            - 1.0 / (252.0 * y * y * y * y * y * y) + EULER
-            - sum(1.0 / (x + float(m)) for m in range(1, 7)))
+    w, t = 1.0 / (x + 7.0), x * (x + 7.0)
+    w2 = w * w
+    first = (x + x + 7.0) * (1.0 / (t + 6.0) + 1.0 / (t + 10.0) + 1.0 / (t + 12.0))
+    rest = w2 * (1.0 / 12.0 - w2 * (1.0 / 120.0 - w2 * (1.0 / 252.0)))
+    return log(x + 7.0) - w * 0.5 - rest + EULER - first
 
 
 def stretch(distance, width, n, log=F.log):
@@ -56,9 +57,10 @@ def far_sums(lo, hi, n):
             v = ends[a:a + 256][:, None]
             for far, span in ((between < i - 1, v - left), (between > i, right - v)):
                 total[a:a + 256] += np.where(far, gap / np.where(far, span, 1.0), 0.0).sum(axis=1)
-            for far, span in ((band < i - 1, v - hi[dense]), (band > i + 1, lo[dense] - v)):
-                part = stretch(np.where(far, span, 1.0), width, count, np.log)
-                total[a:a + 256] += np.where(far, part, 0.0).sum(axis=1)
+            before, after = band < i - 1, band > i + 1
+            span = np.where(before, v - hi[dense], np.where(after, lo[dense] - v, 1.0))
+            part = stretch(span, width, count, np.log)
+            total[a:a + 256] += np.where(before | after, part, 0.0).sum(axis=1)
         out.append(total)
     return out
 
