@@ -5,7 +5,10 @@ group is never gathered: rows are first counted per (group, value) with a map-si
 counts per (group, value band) locate the band that holds each wanted rank; only the
 distinct values of those bands are then ordered. Bands follow the number's magnitude, 256
 per doubling, so a group has a few thousand of them at most and a band spans 0.3 % of its
-value.
+value. A band that holds many distinct values is cut once more, into equal steps between its
+least and greatest value, as many as the square root of that count: both the steps and the
+values of one step are then about that many, so ten billion distinct values of one band are
+ordered some hundred thousand at a time.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BANDS_PER_DOUBLING = 256
+#: Distinct values of a band that are ordered without cutting it.
+FEW_VALUES = 4096
 _SHIFT = 1100 * BANDS_PER_DOUBLING
 
 
 def value_band(v: Column) -> Column:
-    """Integer that never decreases as the number grows."""
-    size = F.floor(F.log2(F.abs(v)) * BANDS_PER_DOUBLING) + _SHIFT
+    """Integer that never decreases as the number grows (infinite and NaN last)."""
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(2000.0)) * BANDS_PER_DOUBLING) + _SHIFT
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
@@ -30,6 +35,48 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_n")))
 
 
+def _held(bands: DataFrame, by: list[str], wanted: Column) -> DataFrame:
+    """The bands (last of the key columns ``by``: ``_b`` or ``_c``) that hold a wanted rank.
+
+    ``bands`` has ``_bn`` rows and ``_bd`` distinct values each; ``wanted`` is an array of
+    (_q, _r, _frac), ranks counted from the start of the group that the bands share.
+    """
+    w = W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, 0)
+    start = F.col("_end") - F.col("_bn")
+    return (bands.withColumn("_end", F.sum("_bn").over(w))
+            .withColumn("_wanted", F.transform(
+                F.filter(wanted, lambda q: (q["_r"] >= start) & (q["_r"] < F.col("_end"))),
+                lambda q: F.struct(q["_q"].alias("_q"), (q["_r"] - start).alias("_r"),
+                                   q["_frac"].alias("_frac"))))
+            .where(F.size("_wanted") > 0).drop("_end", "_bn"))
+
+
+def cells(counts: DataFrame, by_key: list[str], wanted: Column) -> DataFrame:
+    """The value counts that are ordered: those of the steps ``_c`` of the bands ``_b`` that hold
+    a wanted rank, with the ranks inside the step."""
+    counts = counts.withColumn("_b", value_band(F.col("_v")))
+    bands = counts.groupBy(*by_key, "_b").agg(
+        F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    bands = bands.withColumn("n_valores", F.sum("_bn").over(W.partitionBy(*by_key)))
+    held = _held(bands, [*by_key, "_b"], wanted).withColumn("_steps", F.when(
+        (F.col("_bd") > FEW_VALUES) & (F.col("_hi") > F.col("_lo")),
+        F.ceil(F.sqrt("_bd"))).otherwise(0)).drop("_bd")
+    place = F.try_divide((F.col("_v") - F.col("_lo")).cast("double"),
+                         (F.col("_hi") - F.col("_lo")).cast("double"))
+    rows = counts.join(held, [*by_key, "_b"]).withColumn("_c", F.coalesce(F.when(
+        F.col("_steps") > 0, F.floor(place * F.col("_steps"))), F.lit(0)).cast("long"))
+    # Ranks of a band that isn't cut are those of its only step; nothing is counted again.
+    whole = rows.where("_steps = 0")
+    cut = rows.where("_steps > 0")
+    steps = cut.groupBy(*by_key, "_b", "_c").agg(
+        F.sum("_n").alias("_bn"), F.any_value("_wanted").alias("_ranks"))
+    inner = _held(steps, [*by_key, "_b", "_c"], F.col("_ranks")).drop("_ranks")
+    names = [*by_key, "_b", "_c", "_v", "_n", "n_valores", "_wanted"]
+    return whole.select(*names).unionByName(
+        cut.drop("_wanted").join(inner, [*by_key, "_b", "_c"]).select(*names))
+
+
 def quantiles_of_counts(counts: DataFrame, keys: list[str],
                         probs: dict[str, float]) -> DataFrame:
     """Quantiles (linear interpolation) of value counts: one row per group, one column per
@@ -37,30 +84,16 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str],
     by_key = keys or ["_todo"]
     if not keys:
         counts = counts.withColumn("_todo", F.lit(1))
-    counts = counts.withColumn("_b", value_band(F.col("_v")))
-    bands = counts.groupBy(*by_key, "_b").agg(F.sum("_n").alias("_bn"))
-    w = W.partitionBy(*by_key)
-    bands = bands.withColumns({
-        "_end": F.sum("_bn").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)),
-        "n_valores": F.sum("_bn").over(w)})
     wanted = []
     for name, p in probs.items():
         pos = (F.col("n_valores") - 1) * F.lit(float(p))
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             wanted.append(F.struct(F.lit(f"{name}|{side}").alias("_q"),
-                                   rank.cast("long").alias("_rank"),
+                                   rank.cast("long").alias("_r"),
                                    (pos - F.floor(pos)).alias("_frac")))
-    start = F.col("_end") - F.col("_bn")
-    located = (bands.select(*by_key, "_b", "_end", "_bn", "n_valores",
-                            F.inline(F.array(*wanted)))
-               .where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end")))
-               .groupBy(*by_key, "_b", "n_valores")
-               .agg(F.collect_list(F.struct("_q", (F.col("_rank") - start).alias("_r"),
-                                            "_frac")).alias("_wanted")))
-    cells = counts.join(located, [*by_key, "_b"])
-    inside = (W.partitionBy(*by_key, "_b").orderBy("_v")
+    inside = (W.partitionBy(*by_key, "_b", "_c").orderBy("_v")
               .rowsBetween(W.unboundedPreceding, 0))
-    hits = (cells.withColumn("_to", F.sum("_n").over(inside))
+    hits = (cells(counts, by_key, F.array(*wanted)).withColumn("_to", F.sum("_n").over(inside))
             .select(*by_key, "n_valores", "_v", "_n", "_to", F.inline("_wanted"))
             .where((F.col("_r") >= F.col("_to") - F.col("_n"))
                    & (F.col("_r") < F.col("_to"))))

@@ -84,14 +84,18 @@ def prediction_rows(pred: DataFrame) -> DataFrame:
 
 
 def mass_forecast(codes: DataFrame, daily: DataFrame, horizonte: int = 30,
-                  mode: str = "reference") -> DataFrame:
-    """One row per material: total demand ahead, R2, MAE and a status.
+                  mode: str = "reference", modelo: str = "linear", **settings) -> DataFrame:
+    """One row per material: total demand ahead, R2, MAE and a status, by any named model.
 
     ``codes`` has ``codigo`` and ``descripcion`` for every material wanted; a material
     without history gets 'Sin datos', one whose numbers cannot be computed gets an error
     status, so no task fails for a single bad series. There is no cap on materials.
     """
-    return mass_table(codes, *linear_forecast(daily, horizonte, mode))
+    from . import strategies  # its models are built on this module
+
+    if "mode" in strategies.settings_of(modelo):
+        settings["mode"] = mode
+    return mass_table(codes, *strategies.run(modelo, daily, horizonte, **settings))
 
 
 def mass_table(codes: DataFrame, pred: DataFrame, metrics: DataFrame) -> DataFrame:

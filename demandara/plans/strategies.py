@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -35,6 +36,11 @@ def get(name: str) -> Callable[..., Result]:
     return _STRATEGIES[name][1]
 
 
+def settings_of(name: str) -> list[str]:
+    """Names of the settings that a model's function spells out."""
+    return list(inspect.signature(get(name)).parameters)[2:]
+
+
 def run(name: str, daily: DataFrame, horizonte: int = 30, **settings) -> Result:
     return get(name)(daily, horizonte, **settings)
 

@@ -98,7 +98,8 @@ def evaluate(daily: DataFrame, cfg: TrendConfig = TrendConfig()) -> DataFrame:
     return error_metrics(pairs, ["series_id"])
 
 
-def predict(daily: DataFrame, horizonte: int, cfg: TrendConfig = TrendConfig()) -> DataFrame:
+def fitted(daily: DataFrame, cfg: TrendConfig = TrendConfig()) -> DataFrame:
+    """All a forecast needs, one row per series: range, coefficients, residual quantiles."""
     rows = prepared(daily)
     coefs = fit_trend(rows, cfg)
     tail = (1 - cfg.interval) / 2
@@ -106,11 +107,19 @@ def predict(daily: DataFrame, horizonte: int, cfg: TrendConfig = TrendConfig())
         "series_id", "inicio", "fin", "dias", "intercepto", "coef",
         (F.col("logy") - _log_prediction(cfg)).alias("r"))
     # One residual per series and day, so the exact percentile works on a bounded group.
-    points = residuals.groupBy("series_id").agg(
+    return residuals.groupBy("series_id").agg(
         F.max("fin").alias("ultima_fecha"), F.max("inicio").alias("inicio"),
         F.max("dias").alias("dias"), F.max("intercepto").alias("intercepto"),
         F.max("coef").alias("coef"), F.percentile("r", F.array(F.lit(tail), F.lit(1 - tail)))
         .alias("q"))
+
+
+def predict(daily: DataFrame, horizonte: int, cfg: TrendConfig = TrendConfig()) -> DataFrame:
+    return ahead(fitted(daily, cfg), horizonte, cfg)
+
+
+def ahead(points: DataFrame, horizonte: int, cfg: TrendConfig = TrendConfig()) -> DataFrame:
+    """Days after the last observed day from the rows of ``fitted``."""
     days = horizon_days(points, horizonte).withColumn("_l", _log_prediction(cfg))
 
     def level(shift: Column) -> Column:

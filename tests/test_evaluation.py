@@ -58,12 +58,47 @@ def test_step_metrics_without_positive_actuals(spark):
     assert math.isinf(agg.mape_mean) and agg.mape_std == 0 and agg.es_estable
 
 
+SMALL = {k: {"trees": 2, "depth": 2} for k in ("random_forest", "gradient_boosting", "xgboost")}
+
+
+@pytest.mark.parametrize("modelo", ["prophet", "arima", "random_forest"])
+def test_walk_forward_equals_forecasts_of_the_rows_before(spark, modelo):
+    """Every cut's predictions are those of a plain forecast of the rows before that cut."""
+    from demandara.plans import strategies
+    rows = random_series(130, 7, "a|x", step=2) + random_series(130, 8, "b", step=2)
+    how = SMALL.get(modelo, {})
+    pairs = backtest.walk_forward(frame(spark, rows), modelo, ventana=20, n_pasos=2,
+                                  min_train=60, **how).toPandas()
+    assert set(pairs.series_id) == {"a|x", "b"} and (pairs.modelo == modelo).all()
+    assert pairs.groupby("series_id").corte.nunique().eq(2).all()
+    for cut, g in pairs.groupby("corte"):
+        before = frame(spark, [r for r in rows if r[1] < cut])
+        plain, _ = strategies.run(modelo, before, 20, **how)
+        both = g.merge(plain.toPandas(), left_on=["series_id", "dia"],
+                       right_on=["series_id", "paso"])
+        assert len(both) == len(g)
+        np.testing.assert_allclose(both.prediccion_x, both.prediccion_y, rtol=1e-6, atol=1e-6)
+        assert (g.n_train == [sum(r[0] == s and r[1] < cut for r in rows)
+                              for s in g.series_id]).all()
+
+
+def test_walk_forward_refuses_unknown_models(spark):
+    with pytest.raises(ValueError, match="no back-test of other"):
+        backtest.walk_forward(frame(spark, random_series(90, 1)), "other")
+
+
+def test_ensemble_back_test_without_cuts(spark):
+    df = frame(spark, random_series(40, 1))
+    assert backtest.walk_forward(df, "random_forest").count() == 0
+
+
 def test_compare_models_ranks(spark):
     df = frame(spark, random_series(150, 1, "a") + random_series(120, 2, "b"))
-    out = backtest.compare_models(df, ventana=20).toPandas()
+    out = backtest.compare_models(df, ventana=20, n_pasos=1, settings=SMALL).toPandas()
     for _, g in out.groupby("series_id"):
         g = g.sort_values("posicion")
-        assert list(g.posicion) == [1, 2, 3] and g.mae_mean.is_monotonic_increasing
+        assert set(g.modelo) == set(backtest.MODELS)
+        assert list(g.posicion) == list(range(1, 9)) and g.mae_mean.is_monotonic_increasing
         assert g.recomendacion.iloc[0].startswith("Modelo recomendado: " + g.modelo.iloc[0])
         assert g.recomendacion.iloc[1:].isna().all()
 

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from demandara.operators import isolation, quality
 from demandara.operators.prefix import running_total
 from demandara.operators.quantiles import grouped_quantiles, median_deviation, value_counts
@@ -32,6 +34,46 @@ def test_quantiles_equal_numpy(spark, groups):
                                    rtol=1e-9, atol=1e-9)
 
 
+def test_quantiles_of_one_crowded_band(spark):
+    """A million distinct values of one band are ordered some thousand at a time."""
+    from demandara.operators import quantiles
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'a' AS k", "1000 + pmod(id * 7919, 1000000) * 1e-6 AS v")
+    probs = {"a": 0.25, "b": 0.5, "c": 0.999}
+    counts = value_counts(df, ["k"], "v")
+    assert counts.select(quantiles.value_band(F.col("_v")).alias("b")).distinct().count() == 1
+    r = grouped_quantiles(df, ["k"], "v", probs).first()
+    assert r.n_valores == n
+    np.testing.assert_allclose([r.a, r.b, r.c], [1000 + p * (n - 1) * 1e-6
+                                                 for p in probs.values()], rtol=1e-12)
+    wanted = F.array(F.struct(F.lit("b").alias("_q"), F.lit(n // 2).cast("long").alias("_r"),
+                              F.lit(0.0).alias("_frac")))
+    held = quantiles.cells(counts, ["k"], wanted)
+    assert held.groupBy("_b", "_c").count().agg(F.max("count")).first()[0] <= 2000
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_cut_bands_equal_numpy(spark, monkeypatch, few):
+    from demandara.operators import quantiles
+    monkeypatch.setattr(quantiles, "FEW_VALUES", few)
+    rng = np.random.default_rng(few)
+    groups = {"a": rng.normal(-50, 0.02, 400), "b": rng.integers(-3, 4, 300).astype(float),
+              "c": np.concatenate([[7.0] * 90, 7 + rng.random(60) * 1e-9, [7.019]])}
+    df = spark.createDataFrame([(k, float(x)) for k, g in groups.items() for x in g],
+                               "k string, v double")
+    probs = {f"p{i}": i / 8 for i in range(9)}
+    out = {r.k: r for r in grouped_quantiles(df, ["k"], "v", probs).collect()}
+    for k, g in groups.items():
+        np.testing.assert_allclose([out[k][p] for p in probs], np.quantile(g, list(
+            probs.values())), rtol=1e-12)
+
+
+def test_quantiles_with_infinite_values(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, "inf", "-inf")], "v double")
+    r = grouped_quantiles(df, [], "v", {"m": 0.5}).first()
+    assert r.m == 2.0 and r.n_valores == 5
+
+
 def test_quantiles_of_whole_table(spark):
     df = spark.createDataFrame([(float(x),) for x in range(101)], "v double")
     assert grouped_quantiles(df, [], "v", {"m": 0.5}).first().m == 50.0
