@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 BANDS_PER_DOUBLING = 256
 #: Distinct values of a band that are ordered without cutting it.
 FEW_VALUES = 4096
@@ -53,7 +55,11 @@ def _held(bands: DataFrame, by: list[str], wanted: Column) -> DataFrame:
 
 def cells(counts: DataFrame, by_key: list[str], wanted: Column) -> DataFrame:
     """The value counts that are ordered: those of the steps ``_c`` of the bands ``_b`` that hold
-    a wanted rank, with the ranks inside the step."""
+    a wanted rank, with the ranks inside the step.
+
+    The bands found (a few rows per group) are written once, so the work on crowded bands is
+    planned only where there are any.
+    """
     counts = counts.withColumn("_b", value_band(F.col("_v")))
     bands = counts.groupBy(*by_key, "_b").agg(
         F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"),
@@ -62,6 +68,11 @@ def cells(counts: DataFrame, by_key: list[str], wanted: Column) -> DataFrame:
     held = _held(bands, [*by_key, "_b"], wanted).withColumn("_steps", F.when(
         (F.col("_bd") > FEW_VALUES) & (F.col("_hi") > F.col("_lo")),
         F.ceil(F.sqrt("_bd"))).otherwise(0)).drop("_bd")
+    held = materialise(held)
+    names = [*by_key, "_b", "_c", "_v", "_n", "n_valores", "_wanted"]
+    if not held.where("_steps > 0").limit(1).count():
+        return (counts.join(held, [*by_key, "_b"]).withColumn("_c", F.lit(0).cast("long"))
+                .select(*names))
     place = F.try_divide((F.col("_v") - F.col("_lo")).cast("double"),
                          (F.col("_hi") - F.col("_lo")).cast("double"))
     rows = counts.join(held, [*by_key, "_b"]).withColumn("_c", F.coalesce(F.when(
@@ -72,7 +83,6 @@ def cells(counts: DataFrame, by_key: list[str], wanted: Column) -> DataFrame:
     steps = cut.groupBy(*by_key, "_b", "_c").agg(
         F.sum("_n").alias("_bn"), F.any_value("_wanted").alias("_ranks"))
     inner = _held(steps, [*by_key, "_b", "_c"], F.col("_ranks")).drop("_ranks")
-    names = [*by_key, "_b", "_c", "_v", "_n", "n_valores", "_wanted"]
     return whole.select(*names).unionByName(
         cut.drop("_wanted").join(inner, [*by_key, "_b", "_c"]).select(*names))
 
@@ -109,13 +119,17 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str],
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str,
                       probs: dict[str, float]) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probs)
+    """Quantiles per group; the counts per value are written once, as several steps read them."""
+    return quantiles_of_counts(materialise(value_counts(df, keys, value)), keys, probs)
 
 
 def median_deviation(counts: DataFrame, keys: list[str], median: str = "mediana") -> DataFrame:
-    """Median and median absolute deviation of value counts, per group."""
-    med = quantiles_of_counts(counts, keys, {median: 0.5}).withColumnRenamed(
-        "n_valores", "n")
+    """Median and median absolute deviation of value counts, per group.
+
+    The medians (one row per group) are written once, as both halves read them.
+    """
+    med = materialise(quantiles_of_counts(counts, keys, {median: 0.5}).withColumnRenamed(
+        "n_valores", "n"))
     if keys:
         joined = counts.join(med.select(*keys, median), keys)
     else:

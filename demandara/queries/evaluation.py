@@ -206,7 +206,24 @@ def e10(spark, sf):
 
 @query("e11_compare_models")
 def e11(spark, sf):
-    return bt.compare_models(fx.serie_brand(spark, sf))
+    return bt.compare_models(fx.serie_brand(spark, sf),
+                             ["linear", "short", "naive", "prophet", "arima"])
+
+
+@query("e06_walk_forward_trend")
+def e06_trend(spark, sf):
+    return bt.walk_forward(fx.serie_brand(spark, sf), "prophet")
+
+
+@query("e06_walk_forward_seasonal_ar")
+def e06_seasonal_ar(spark, sf):
+    return bt.walk_forward(fx.serie_brand(spark, sf), "arima")
+
+
+@query("e06_walk_forward_forest")
+def e06_forest(spark, sf):
+    return bt.walk_forward(fx.serie_brand(spark, sf), "random_forest", mode="causal",
+                           trees=20, depth=5)
 
 
 @query("e12_fold_table", """
