@@ -103,11 +103,14 @@ def run_forecast(rows: DataFrame, config: ForecastConfig | None = None, *,
     if cfg.backtest:
         window = cfg.ventana_backtest or min(cfg.horizonte, 30)
         parts = {cfg.modelo: good}
+        # The settings of the run hold for its back-test; a refit has no part in one.
+        how = {k: v for k, v in cfg.modelo_kwargs.items() if k != "refit"}
         if seleccion is not None:  # each series by the model chosen for it
+            how = {}
             parts = {m: good.join(best.where(F.col("modelo") == m), "series_id", "left_semi")
                      for m in backtest.MODELS}
         for model, part in parts.items():
-            pairs = backtest.walk_forward(part, model, window, cfg.n_pasos)
+            pairs = backtest.walk_forward(part, model, window, cfg.n_pasos, **how)
             steps = backtest.aggregate_steps(backtest.step_metrics(pairs))
             tested = steps if tested is None else tested.unionByName(steps)
     return ForecastRun(status, pred, metrics, calidad, tested, seleccion)

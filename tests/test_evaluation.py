@@ -245,7 +245,20 @@ def test_backtest_of_an_unknown_model_is_refused(spark):
     from demandara.plans import flow
     rows = frame(spark, random_series(80, 1, "a")).withColumnRenamed("series_id", "codigo")
     with pytest.raises(ValueError):
-        flow.run_forecast(rows, flow.ForecastConfig(modelo="prophet", backtest=True))
+        flow.run_forecast(rows, flow.ForecastConfig(modelo="otro", backtest=True))
+
+
+def test_a_run_back_tests_its_own_model_and_settings(spark):
+    from demandara.plans import flow
+    daily = frame(spark, random_series(80, 1, "a"))
+    run = flow.run_forecast(daily.withColumnRenamed("series_id", "codigo"), flow.ForecastConfig(
+        modelo="prophet", validar=False, backtest=True, horizonte=10, n_pasos=1,
+        modelo_kwargs={"yearly": 2}))
+    own = backtest.aggregate_steps(backtest.step_metrics(backtest.walk_forward(
+        daily, "prophet", 10, 1, yearly=2))).first()
+    got = run.backtest.collect()
+    assert [r.modelo for r in got] == ["prophet"]
+    assert got[0].mae_mean == pytest.approx(own.mae_mean, rel=1e-9)
 
 
 def test_a_series_without_finite_numbers_stops_nothing(spark):
