@@ -1,7 +1,7 @@
 """From raw documents to training sequences: five stages, each one corpus operator.
 
 Every stage takes the whole table its predecessor kept and its decisions take effect: documents
-without a language go, repeated lines leave the texts, one document of each near-duplicate
+without a learned language go, repeated lines leave the texts, one document of each near-duplicate
 group stays (the smallest id), contaminated documents go, and the rest is packed. All stages but the
 last return the columns of documents.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandara.llm.decontamination import decontaminate
-from demandara.llm.language_id import identified, learn
+from demandara.llm.language_id import identified, learn, limits
 from demandara.llm.line_dedup import without_repeats
 from demandara.llm.packing import pack
 from demandara.llm.queries import Query
@@ -22,8 +22,10 @@ from demandara.session import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts and texts without a letter."""
-    return identified(docs, learn(docs))
+    """Rejects what has no learned language: texts without a letter, and texts further from their
+    nearest profile than that language's own documents are."""
+    profiles = learn(docs)
+    return identified(docs, profiles, furthest=limits(docs, profiles))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ Contract: one row per row. Null texts and texts without a letter are ``und`` wit
 is every text where nothing was learned. Rows with null language teach nothing. The score is
 the margin to the second language (with one language learned: the likeness to it). Ties go
 to the language first in order. Null ids are never held out. Repeated rows give one row each.
+
+``identified`` rejects by the distance itself: a text whose mean out-of-place distance to its
+nearest profile is over that language's limit (``limits``) is foreign or no language.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ PROFILE = 400
 TEACHERS = 10_000
 UNKNOWN = "und"
 SPACE = 32
+#: Share of a language's own documents that its limit is drawn from, steps of the distance, and how many
+#: documents a language needs for a limit of its own.
+OWN = 0.999
+STEPS = 1000
+OWN_LIMIT = 1000
 
 
 def held_out(id_col: str) -> Column:
@@ -126,16 +134,20 @@ class Profiles:
             found.append(int(off.sum()))
         return found
 
-    def best(self, text: str) -> tuple[str, float]:
+    def nearest(self, text: str) -> tuple[str, float, float]:
+        """Language, score, and the mean distance of an n-gram as a share of the largest one."""
         if not text or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 1.0
         ranked = top(*ngrams(text), self.size)
         d = self.distances(ranked)
         first = int(np.argmin(d))
         most = len(ranked) * self.size
         rest = [x for k, x in enumerate(d) if k != first]
         second = min(rest) if rest else most
-        return self.langs[first], (second - d[first]) / second if second else 0.0
+        return self.langs[first], (second - d[first]) / second if second else 0.0, d[first] / most
+
+    def best(self, text: str) -> tuple[str, float]:
+        return self.nearest(text)[:2]
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE,
@@ -156,16 +168,61 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
     return done.withColumnRenamed("_id", id_col)
 
 
+def limits(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE,
+           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+           ) -> dict[str, float]:
+    """Largest distance by language that still counts as that language.
+
+    Of all labelled documents that aren't held out and whose nearest profile is their label, the
+    quantile ``OWN`` and half of its way from the median beyond it. A language with under ``OWN_LIMIT``
+    such documents takes the widest limit. Counts per step of the distance reach the driver.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Profiles(profiles, size)
+        for part in slices(batches):
+            found = [model.nearest(t) for t in clean(part["_text"])]
+            own = [(f[0], int(f[2] * STEPS)) for f, lang in zip(found, part["_lang"].to_pylist())
+                   if f[0] == lang and f[2] < 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in own], pa.string()),
+                 pa.array([o[1] for o in own], pa.int32())], ["lang", "step"])
+
+    taught = docs.filter(F.col(f"`{lang_col}`").isNotNull() & ~held_out(id_col)).select(
+        F.col(f"`{lang_col}`").cast("string").alias("_lang"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    steps: dict[str, list[int]] = {}
+    for r in map_arrow(taught, work, "lang string, step int").groupBy("lang", "step").agg(
+            F.count("*").alias("n")).collect():
+        steps.setdefault(r["lang"], [0] * STEPS)[r["step"]] = r["n"]
+    found, few = {}, []
+    for lang, n in steps.items():
+        total = np.cumsum(n)
+        middle, high = ((int(np.searchsorted(total, q * total[-1])) + 1) / STEPS for q in (0.5, OWN))
+        found[lang] = high + (high - middle) / 2
+        if total[-1] < OWN_LIMIT:
+            few.append(lang)
+    widest = max(found.values(), default=1.0)
+    return found | {lang: widest for lang in [*few, *(set(profiles) - set(found))]}
+
+
 def identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.0,
-               size: int = PROFILE, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a language and at least that score, with all their columns."""
-    at = docs.columns.index(text_col)
+               size: int = PROFILE, text_col: str = "text",
+               furthest: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` with a language, at least that score and, with ``furthest`` (by language,
+    of ``limits``), no larger distance, with all their columns; all rows where nothing was learned.
+
+    A text that shares no n-gram with any profile has no language.
+    """
+    if not profiles:
+        return docs
+    at, furthest = docs.columns.index(text_col), furthest or {}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, size)
         for part in slices(batches, at):
-            found = [model.best(t) for t in clean(part.column(at))]
-            yield part.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found],
-                                       pa.bool_()))
+            found = [model.nearest(t) for t in clean(part.column(at))]
+            yield part.filter(pa.array(
+                [lang != UNKNOWN and score >= least and far < 1 and far <= furthest.get(lang, 1.0)
+                 for lang, score, far in found], pa.bool_()))
 
     return map_arrow(docs, work, docs.schema)

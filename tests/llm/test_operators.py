@@ -519,6 +519,25 @@ def test_language_of_odd_rows(spark, sf, odd):
     assert language_id.identified(odd, language_id.learn(docs)).columns == odd.columns
 
 
+def test_language_stage_rejects_by_distance(spark, sf):
+    r = random.Random(3)
+    docs = table(spark, sf, "documents")
+    junk = ["".join(r.choices(string.ascii_lowercase + "   ", k=600)),
+            "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 6,
+            "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 6,
+            "人人生而自由在尊严和权利上一律平等", "".join(r.choices("#$%&0123456789", k=400)), None]
+    more = spark.createDataFrame([(10**9 + k, t, None, "x", 1) for k, t in enumerate(junk)],
+                                 docs.schema)
+    clean = {x["doc_id"] for x in docs.collect()}
+    kept = {x["doc_id"] for x in corpus_pipeline.language(spark, docs.union(more), sf).collect()}
+    assert kept == clean
+
+
+def test_language_stage_keeps_all_where_nothing_was_learned(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, docs, sf).count() == docs.count()
+
+
 # pipeline
 
 def test_pipeline(spark, sf):
