@@ -7,14 +7,18 @@ alignment of words finds how much of the template is really there, and from wher
 
 Contract: words are runs of letters and digits, lower-cased. One row per found span; of
 overlapping spans the one that covers most words of its template stays (ties: larger share,
-earlier, template order). Null text is empty; documents without a license give no row. Repeated
+earlier, template order). A span whose words name another license or version than its template
+(``Index.agrees``) is none of that template. Null text is empty; documents without a license give no row. Repeated
 rows and null ids give rows of their own. Templates of fewer than three words are one fingerprint;
 templates without words match nothing.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,82 @@ from .sketches import hashes_of
 GRAM = 3
 WINDOW = 2
 SHARE = 0.8
+LONG = 64  # words from which a template is aligned in numpy
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
+#: Words that tell licenses apart. A line (at most ``LINE`` words) must show all its naming words; no
+#: span but that of a body text (over ``NOTICE`` words) may show a variant word that its template lacks.
+LINE = 16
+NOTICE = 100
+VARIANTS = frozenset("lesser library affero nd nc sa noncommercial noderivatives noderivs "
+                     "sharealike".split())
+NAMING = VARIANTS | frozenset("apache mit mozilla general bsd isc zlib unlicense cc cc0 creative gpl "
+                              "lgpl agpl mpl only later".split())
+
+
+def _lines() -> list[tuple[str, str]]:
+    """One-sentence notices by family and version, and without a version."""
+    found = []
+    for name, title, versions in (
+            ("Apache", "Apache License", ("2.0", "1.1", "1.0")),
+            ("GPL", "GNU General Public License", ("3", "2", "1")),
+            ("LGPL", "GNU Lesser General Public License", ("3", "2.1")),
+            ("LGPL", "GNU Library General Public License", ("2",)),
+            ("AGPL", "GNU Affero General Public License", ("3",)),
+            ("MPL", "Mozilla Public License", ("2.0", "1.1", "1.0"))):
+        for start in ("Licensed under the", "This work is licensed under the"):
+            found += [(f"{name}-{v if '.' in v else v + '.0'}-line", f"{start} {title}, version {v}.")
+                      for v in versions]
+            found.append((f"{name}-line", f"{start} {title}."))
+    found += [(f"{name}-line", f"Released under the {title} License.") for name, title in (
+        ("BSD-4", "BSD 4-Clause"), ("BSD-0", "BSD 0-Clause"), ("BSD", "BSD"), ("zlib", "zlib"))]
+    found.append(("Unlicense-line", "Released under the Unlicense."))
+    found.append(("CC0-1.0-line", "Licensed under CC0 1.0."))
+    for kind, title in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
+                        ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        found.append((f"CC-{kind}-line", f"Licensed under CC {kind}."))
+        for v, port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"),
+                        ("2.0", "Generic"), ("1.0", "Generic")):
+            long = title if v == "4.0" else title.replace("NoDerivatives", "NoDerivs")
+            found += [(f"CC-{kind}-{v}-line", f"Licensed under CC {kind} {v}."),
+                      (f"CC-{kind}-{v}", f"This work is licensed under a Creative Commons {long} {v} "
+                                         f"{port} License.")]
+    found += [(f"{key}-spdx", f"SPDX-License-Identifier: {key}") for key in (
+        "Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Unlicense",
+        "Zlib", "CC0-1.0", "MPL-1.1", "MPL-2.0",
+        *(f"{g}{end}" for g in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0",
+                                "AGPL-3.0") for end in ("", "-only", "-or-later")),
+        *(f"CC-{k}-{v}" for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+          for v in ("4.0", "3.0", "2.5", "2.0", "1.0")))]
+    return found
+
+
+def _gnu() -> list[tuple[str, str]]:
+    """The first paragraph of the notices that the GNU licenses ask for."""
+    found = []
+    for name, what, title, v in (
+            ("GPL-1.0", "program", "General", "1"), ("GPL-2.0", "program", "General", "2"),
+            ("GPL-3.0", "program", "General", "3"), ("LGPL-2.0", "library", "Library General", "2"),
+            ("LGPL-2.1", "library", "Lesser General", "2.1"),
+            ("LGPL-3.0", "library", "Lesser General", "3"),
+            ("AGPL-3.0", "program", "Affero General", "3")):
+        start = (f"This {what} is free software: you can redistribute it and/or modify it under the "
+                 f"terms of the GNU {title} Public License")
+        found += [(name, f"{start} as published by the Free Software Foundation, either version {v} "
+                         "of the License, or (at your option) any later version."),
+                  (f"{name}-only", f"{start} version {v} as published by the Free Software "
+                                   "Foundation.")]
+    return found
+
+
+def _bodies() -> list[tuple[str, str]]:
+    """The license texts themselves."""
+    return [(f"{path.stem}-body", path.read_text(encoding="utf-8"))
+            for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
 #: Names and texts of license notices, as their authors publish them.
 NOTICES = (
     ("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
@@ -73,6 +151,14 @@ NOTICES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose "
             "with or without fee is hereby granted, provided that the above copyright notice and "
             "this permission notice appear in all copies."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or "
+                "neighboring rights to this work."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event "
+             "will the authors be held liable for any damages arising from the use of this software. "
+             "Permission is granted to anyone to use this software for any purpose, including "
+             "commercial applications, and to alter it and redistribute it freely, subject to the "
+             "following restrictions:"),
+    *_lines(), *_gnu(), *_bodies(),
 )
 
 
@@ -102,6 +188,8 @@ def align(template: list[str], words: list[str], start: int) -> tuple[int, int,
     diagonal that starts at ``start``: (matched, first word, last word + 1)."""
     m = len(template)
     band = max(2, m // 5)
+    if m >= LONG:
+        return _align_long(template, words, start, band)
     width = 2 * band + 1
     # Per place of the band: (matched words, minus first place); a pair compares as a tuple.
     row = [(0, 0)] * width
@@ -125,6 +213,47 @@ def align(template: list[str], words: list[str], start: int) -> tuple[int, int,
     return best
 
 
+def _align_long(template: list[str], words: list[str], start: int, band: int
+                ) -> tuple[int, int, int]:
+    """The same row by row in numpy; a pair is matched * 2^32 - first place, which orders alike."""
+    m, one = len(template), 1 << 32
+    code: dict[str, int] = {}
+    own = [code.setdefault(w, len(code)) for w in template]
+    padded = np.full(m + 2 * band + 1, -1)
+    a, b = max(0, start - band), min(len(words), start + m + band + 1)
+    if b > a:
+        padded[a - start + band:b - start + band] = [code.get(w, -1) for w in words[a:b]]
+    width = 2 * band + 1
+    row = np.zeros(width, np.int64)
+    places = np.arange(start - band, start + m + band + 1)
+    most, best, end = 0, 0, 0
+    for i in range(m):
+        # A word that matches adds one to the diagonal; the first one sets the place.
+        new = np.where(padded[i:i + width] == own[i],
+                       row + one - np.where(row == 0, places[i:i + width], 0), row)
+        np.maximum(new[:-1], row[1:], out=new[:-1])  # template word left out
+        np.maximum.accumulate(new, out=new)  # word of the document left out
+        row = new
+        top = -(-int(row[-1]) // one)
+        if top > most:
+            k = int(np.searchsorted(row, (top - 1) * one, side="right"))
+            most, best, end = top, int(row[k]), int(places[i + k]) + 1
+    return most, most * one - best, end
+
+
+def common_words(masks: dict[str, int], m: int, words: list[str]) -> int:
+    """Words of the longest common sequence of ``words`` and a template of ``m`` words without a band,
+    a bit per template word: no less than an alignment can match."""
+    full = (1 << m) - 1
+    left = full
+    for w in words:
+        mask = masks.get(w)
+        if mask:
+            both = left & mask
+            left = ((left + both) | (left - both)) & full
+    return m - left.bit_count()
+
+
 class Index:
     """Winnowed fingerprints of one block of templates."""
 
@@ -132,6 +261,9 @@ class Index:
         self.names, self.share = names, share
         offsets, codes, distinct = words_of(pa.array(texts, pa.string()))
         self.words = [[distinct[c] for c in codes[a:b]] for a, b in zip(offsets, offsets[1:])]
+        self.counts = [Counter(w) for w in self.words]
+        self.masks: dict[int, dict[str, int]] = {}
+        self.least = [math.ceil(share * len(w) - 1e-9) for w in self.words]
         self.parts = []  # (gram width, sorted hashes, template, place in it)
         n = np.diff(offsets)
         for width in range(1, GRAM + 1):
@@ -161,19 +293,56 @@ class Index:
                     (int(owner[k]), w - int(place[k])) for k in range(x, y))
         return found
 
+    def agrees(self, t: int, span: list[str]) -> bool:
+        """Whether the words of a span name no other license or version than template ``t``.
+
+        Zero after a version's point may be missing. Only what a template names is compared.
+        """
+        own, met = self.counts[t], set(span)
+        if len(self.words[t]) > NOTICE:
+            return True
+        if any(w in met and w not in own for w in VARIANTS):
+            return False
+        lost = [w for w in own if w.isdigit() and w != "0" and w not in met]
+        if len(self.words[t]) <= LINE:
+            return not lost and all(w in met for w in own if w in NAMING)
+        return all(w in met for w in own if w in VARIANTS) and not (
+            lost and any(w.isdigit() and w not in own for w in met))
+
+    def reaches(self, t: int, words: list[str], start: int) -> bool:
+        """Whether an alignment that starts about ``start`` can match enough words."""
+        m = len(self.words[t])
+        if m < LONG:
+            return True
+        if t not in self.masks:
+            places: dict[str, int] = {}
+            for k, w in enumerate(self.words[t]):
+                places[w] = places.get(w, 0) | 1 << k
+            self.masks[t] = places
+        band = max(2, m // 5)
+        part = words[max(0, start - band):max(0, start + m + band)]
+        return len(part) >= self.least[t] and common_words(self.masks[t], m, part) >= self.least[t]
+
     def spans(self, text: str, starts: set[tuple[int, int]]) -> list[tuple]:
         """(name, matched, share, start, end) of one text, overlaps resolved."""
         met = list(WORD.finditer(text))
         words = [m.group().lower() for m in met]
-        found, done = [], {}
+        found, done, there, possible = [], {}, Counter(words), {}
         for t, start in sorted(starts):
             template = self.words[t]
+            if t not in possible:  # enough of the template's words stand anywhere in the text
+                possible[t] = len(words) >= self.least[t] and sum(
+                    min(n, there[w]) for w, n in self.counts[t].items()) >= self.least[t]
+            if not possible[t]:
+                continue
             # Starts within half a band of one that was aligned give the same alignment.
             if t in done and start - done[t] <= max(1, len(template) // 10):
                 continue
             done[t] = start
+            if not self.reaches(t, words, start):
+                continue
             matched, a, b = align(template, words, start)
-            if matched >= self.share * len(template) - 1e-9:
+            if matched >= self.least[t] and self.agrees(t, words[a:b]):
                 found.append((matched, matched / len(template), a, b, t))
         found.sort(key=lambda f: (-f[0], -f[1], f[2], f[4]))
         kept: list[tuple] = []

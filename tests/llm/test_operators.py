@@ -157,6 +157,38 @@ def test_fingerprints_of_odd_rows(spark, odd):
     assert one["near_next"] == 1.0
 
 
+def test_every_notice_gets_its_own_name(spark):
+    docs = spark.createDataFrame([(k, f"Some words before. {t} And some after it.")
+                                  for k, (_, t) in enumerate(licenses.NOTICES)],
+                                 "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license"], r["coverage"])
+                 for r in licenses.license_spans(docs.repartition(4)).collect())
+    assert got == [(k, name, 1.0) for k, (name, _) in enumerate(licenses.NOTICES)]
+    names = {name for name, _ in licenses.NOTICES}
+    assert names >= {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "CC-BY-ND-4.0-line", "MIT-body",
+                     "GPL-2.0-body", "AGPL-3.0-body", "BSD-2-Clause-body", "ISC-body", "MIT-spdx"}
+
+
+def test_a_license_without_a_template_gets_no_wrong_name(spark):
+    docs = spark.createDataFrame([
+        (1, "Released under the Foo License."), (2, "SPDX-License-Identifier: EPL-2.0"),
+        (3, "Licensed under the GNU General Public License, version 7."),
+        (4, "Licensed under CC BY 5.0.")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.license_spans(docs).collect())
+    assert got == [(3, "GPL-line"), (4, "CC-BY-line")]
+
+
+def test_long_alignment_is_the_plain_one(monkeypatch):
+    r = random.Random(1)
+    for _ in range(200):
+        one = r.choices("abcdefgh", k=r.randint(3, 40))
+        other, start = r.choices("abcdefgh", k=r.randint(0, 60)), r.randint(-10, 30)
+        plain = licenses.align(one, other, start)
+        assert plain == licenses._align_long(one, other, start, max(2, len(one) // 5))
+        masks = {w: sum(1 << k for k, x in enumerate(one) if x == w) for w in one}
+        assert plain[0] <= licenses.common_words(masks, len(one), other)
+
+
 # 4 line dedup
 
 def one_edit(a, b):
