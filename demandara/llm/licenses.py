@@ -1,8 +1,10 @@
-"""License scans: winnowed fingerprints in an inverted index, then banded alignment.
+"""License scans: fingerprints in an inverted index, then banded alignment.
 
 Word three-grams of every template are winnowed (the smallest hash of each window of two stays)
 into an inverted index. A document's three-grams are winnowed the same way; what it shares with the
-index names candidate templates and where they may start. Around each such diagonal a banded
+index names candidate templates and where they may start. A template too short for every alignment
+that counts to share a winnowed three-gram is indexed by single words instead: one more of its rarer
+words than an alignment may leave out. Around each such diagonal a banded
 alignment of words finds how much of the template is really there, and from where to where.
 
 Contract: words are runs of letters and digits, lower-cased. One row per found span; of
@@ -32,6 +34,9 @@ from .sketches import hashes_of
 GRAM = 3
 WINDOW = 2
 SHARE = 0.8
+#: Words left to others when a short template is indexed by single words.
+COMMON = frozenset("a an and are as at by for from in is it of on or that the this to under with "
+                   "work".split())
 LONG = 64  # words from which a template is aligned in numpy
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -266,16 +271,32 @@ class Index:
         self.least = [math.ceil(share * len(w) - 1e-9) for w in self.words]
         self.parts = []  # (gram width, sorted hashes, template, place in it)
         n = np.diff(offsets)
+        # Words an alignment may leave out. Runs of four words that are left always share a winnowed
+        # three-gram, and there is one where n > 4 * free + 3.
+        free = n - np.array(self.least, dtype=np.int64)
+        single = (n >= GRAM) & (n <= 4 * free + 3)
+        whole = (n >= GRAM) & ~single
         for width in range(1, GRAM + 1):
             at, h = hashes_of(offsets, codes, distinct, width)
             place = winnow(at, h)
             owner = np.searchsorted(at, place, side="right") - 1
-            mine = n[owner] >= GRAM if width == GRAM else n[owner] == width
+            mine = whole[owner] if width == GRAM else n[owner] == width
             place, owner = place[mine], owner[mine]
             if len(place):
                 order = np.argsort(h[place], kind="stable")
                 self.parts.append((width, h[place][order], owner[order],
                                    (place - at[owner])[order]))
+        # Any free + 1 words of a short template hold one that an alignment matches.
+        chosen = [(t, k) for t in np.flatnonzero(single).tolist()
+                  for k in sorted(range(int(n[t])), key=lambda k: (
+                      self.words[t][k] in COMMON, self.words[t][k].isdigit(),
+                      -len(self.words[t][k]), k))[:int(free[t]) + 1]]
+        if chosen:
+            at, h = hashes_of(offsets, codes, distinct, 1)
+            owner, place = np.array(chosen).T
+            keys = h[at[owner] + place]
+            order = np.argsort(keys, kind="stable")
+            self.parts.append((1, keys[order], owner[order], place[order]))
 
     def hits(self, offsets, codes, distinct) -> dict[int, set[tuple[int, int]]]:
         """Per text: (template, word of the text where the template would start)."""
@@ -298,13 +319,14 @@ class Index:
 
         Zero after a version's point may be missing. Only what a template names is compared.
         """
-        own, met = self.counts[t], set(span)
+        own, met, line = self.counts[t], Counter(span), len(self.words[t]) <= LINE
         if len(self.words[t]) > NOTICE:
             return True
         if any(w in met and w not in own for w in VARIANTS):
             return False
-        lost = [w for w in own if w.isdigit() and w != "0" and w not in met]
-        if len(self.words[t]) <= LINE:
+        lost = [w for w, n in own.items()
+                if w.isdigit() and w != "0" and met[w] < (n if line else 1)]
+        if line:
             return not lost and all(w in met for w in own if w in NAMING)
         return all(w in met for w in own if w in VARIANTS) and not (
             lost and any(w.isdigit() and w not in own for w in met))

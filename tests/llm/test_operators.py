@@ -178,6 +178,30 @@ def test_a_license_without_a_template_gets_no_wrong_name(spark):
     assert got == [(3, "GPL-line"), (4, "CC-BY-line")]
 
 
+def test_lines_with_one_word_left_out_or_replaced(spark):
+    """Of five words on an alignment may miss one; without a naming word a line names nothing."""
+    rows, want, never = [(1, "Released under MIT License"), (2, "Released under an MIT License")], \
+        {1: "MIT-line", 2: "MIT-line"}, {}
+    for name, text in licenses.NOTICES:
+        words = [w.lower() for w in licenses.WORD.findall(text)]
+        if not 5 <= len(words) <= 42:
+            continue
+        for k, word in enumerate(words):
+            for put in ([], ["qqq"]):
+                rows.append((len(rows) + 1, " ".join(["zz", *words[:k], *put, *words[k + 1:], "zz"])))
+                named = word in licenses.NAMING or word.isdigit()
+                if not named:
+                    want[len(rows)] = name
+                elif word != "0" and len(words) <= licenses.LINE:
+                    never[len(rows)] = name
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {}
+    for r in licenses.license_spans(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert {k: got.get(k) for k in want} == {k: {name} for k, name in want.items()}
+    assert len(never) > 100 and not any(name in got.get(k, ()) for k, name in never.items())
+
+
 def test_long_alignment_is_the_plain_one(monkeypatch):
     r = random.Random(1)
     for _ in range(200):
