@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; n_chars follows."""
-    found = without_repeats(docs, counts=True)
+    """Takes repeated lines out of the texts, exact repeats at any length; n_chars follows."""
+    found = without_repeats(docs, counts=True, exact_chars=1)
     return found.withColumn("n_chars", F.when(
         F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*docs.columns)

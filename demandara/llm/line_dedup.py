@@ -12,7 +12,8 @@ pair and keeps the neighbourhoods far smaller than the corpus.
 Contract: lines end at line feeds and are compared without the spaces around them. A line goes if
 an equal line or one within the edit bound stands earlier, by document id (null ids last), then
 by line number; the earlier line need not stay itself. Lines of fewer than ``min_chars`` characters
-always stay. Rows with the same id and text are one document given twice and get the same
+have no edit bound: they go if an equal line stands earlier and they have ``exact_chars`` characters
+at least, else they stay, as blank lines do. Rows with the same id and text are one document given twice and get the same
 result. Null text stays null and has no lines. An empty table gives no rows.
 """
 
@@ -126,10 +127,12 @@ def _partners(texts: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """(_id, _t, _gone): per document (id and hash of the text) the numbers of lines that go."""
-    lines = materialise(_lines(docs, id_col, text_col, min_chars)
-                        .withColumn("keys", _halves(F.col("line"))).drop("line"))
+    least = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
+    # A line without keys meets no line but its equals.
+    keys = F.when(F.length("line") >= min_chars, _halves(F.col("line")))
+    lines = materialise(_lines(docs, id_col, text_col, least).withColumn("keys", keys).drop("line"))
     first = materialise(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("place"),
                                                       F.first("keys").alias("keys")))
     keyed = first.select("h1", "h2", F.explode("keys").alias("key"))
@@ -157,12 +160,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
 
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                    text_col: str = "text", counts: bool = False) -> DataFrame:
+                    text_col: str = "text", counts: bool = False,
+                    exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; all columns and rows stay.
 
-    ``counts`` adds n_lines and n_removed.
+    ``counts`` adds n_lines and n_removed. ``exact_chars`` is the floor of exact repeats
+    (``min_chars`` where not given).
     """
-    gone = repeated_lines(docs, min_chars, id_col, text_col)
+    gone = repeated_lines(docs, min_chars, id_col, text_col, exact_chars)
     text, hashed = F.col(f"`{text_col}`").cast("string"), fresh(docs, "_key")
     joined = docs.withColumn(hashed, F.xxhash64(F.coalesce(text, F.lit("")))).join(
         gone, docs[f"`{id_col}`"].eqNullSafe(gone["_id"]) & (F.col(hashed) == gone["_t"]), "left")

@@ -263,6 +263,20 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert line_dedup.without_repeats(empty(spark)).count() == 0
 
 
+def test_exact_repeats_of_short_lines(spark, odd):
+    docs = spark.createDataFrame([
+        (1, "短い定型文です。\n\nab\na line of more than twenty letters"), (2, "ab\n\nac\n 短い定型文です。"),
+        (3, "ab\nac\nad\na line of more than twenty lettera\nab"), (None, "ad"), (4, None)],
+        "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs, exact_chars=1).collect()}
+    assert got == {1: "短い定型文です。\n\nab\na line of more than twenty letters", 2: "\nac", 3: "ad",
+                   None: "", 4: None}
+    floor = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs, exact_chars=3).collect()}
+    assert floor[2] == "ab\n\nac" and floor[None] == "ad"
+    more = docs.withColumns({"lang": F.lit("x"), "source": F.lit("x"), "n_chars": F.length("text").cast("long")})
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, more, "").collect()} == got
+
+
 # 5 packing
 
 def plain_best_fit(lengths, capacity):
