@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contaminated
+from .divergence import divergence
 from .language_id import learn, predict
 from .licenses import license_spans
 from .line_dedup import without_repeats
+from .main_text import extract
 from .packing import pack
 from .repeats import digest as repeats_digest
 from .repeats import remove_repeats
@@ -19,7 +21,9 @@ from .secrets import digest, scan
 from .simhash import near_groups
 from .sketches import compare_with_next
 from .token_counts import token_counts
-from .twins import CONTAMINATED, WITHOUT_REPEATS
+from .twins import CONTAMINATED, DIVERGENCE, VECTOR_CODES, WITHOUT_REPEATS
+from .vector_codes import compress
+from .vector_codes import digest as vector_digest
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +99,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return repeats_digest(remove_repeats(table(spark, folder, "documents"), hashed=True))
+
+
+@query("op11_source_divergence", DIVERGENCE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(table(spark, folder, "documents"))
+
+
+@query("op12_html_extraction")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
+@query("op13_vector_codes", VECTOR_CODES)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_digest(*compress(table(spark, folder, "embeddings")))
