@@ -1,9 +1,10 @@
-"""Autoregression with weekly lags, order chosen per series.
+"""Autoregression with weekly lags and moving-average terms, order chosen per series.
 
 Candidates are rows: differencing 0 or 1, one to three short lags, no, one or two weekly
 lags. All candidates of one differencing share one set of product sums per series; each
-is a small least-squares solve with some lags switched off, and the least AIC wins. Forecasts
-run the recursion for many series at once, one row per series.
+is a small least-squares solve with some lags switched off, and the least AIC wins. Orders with
+moving-average terms (``moving_average``) work on one row of values per series and compete by the AIC
+of the same rows. Forecasts run the recursion for many series at once, one row per series.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import SHORT_SERIES, ordered, series
 from .linear import product_sums, solve
 from .metrics import error_metrics
+from .moving_average import MA_WIDTH, fit_best
 
 LAGS = (1, 2, 3, 7, 14)
 SHORT_LAGS = 3
@@ -62,13 +64,17 @@ def prepared(daily: DataFrame, share: float = 0.2) -> DataFrame:
             .select("series_id", "n", "pos", "is_train", F.inline(both)))
 
 
-def fit_candidates(rows: DataFrame) -> DataFrame:
-    """Every candidate of every series with its coefficients, AIC and BIC."""
+def fit_candidates(rows: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """Every candidate of every series with its coefficients, AIC and BIC.
+
+    ``lengths`` (series_id, n) spares a second pass over the windows of ``rows``.
+    """
     keys = ["series_id", "d"]
     z = F.array(F.lit(1.0), *[F.col(f"l_{k}") for k in LAGS], F.col("w"))
     sums = product_sums(rows, keys, z, WIDTH)
-    length = rows.groupBy("series_id").agg(F.max("n").alias("n"))
-    grid = (sums.join(length, "series_id").withColumn("_c", F.explode(_candidates()))
+    if lengths is None:
+        lengths = rows.groupBy("series_id").agg(F.max("n").alias("n"))
+    grid = (sums.join(lengths, "series_id").withColumn("_c", F.explode(_candidates()))
             .where("_c.d = d").select(*keys, "n", "_c.ar", "_c.ar_semanal", "_c.activos", "g"))
     # Weekly lags need a long series; a series under 20 rows only has the default order.
     grid = grid.where(((F.col("ar_semanal") == 0) | (F.col("n") >= SHORT_SERIES))
@@ -93,11 +99,10 @@ def best_order(candidates: DataFrame) -> DataFrame:
 def _state(daily: DataFrame) -> DataFrame:
     """Last values of each series (enough for the longest lag), oldest first."""
     keep = max(LAGS) + 1
-    rank = F.row_number().over(series().orderBy(F.desc("fecha")))
-    return (daily.withColumn("_r", rank).where(F.col("_r") <= keep).groupBy("series_id")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("fecha", "cantidad"))),
-                             lambda x: x["cantidad"]).alias("ultimos"),
-                 F.max("fecha").alias("ultima_fecha")))
+    days = F.array_sort(F.collect_list(F.struct("fecha", "cantidad")))
+    last = F.slice(days, F.greatest(F.size(days) - keep + 1, F.lit(1)), keep)
+    return daily.groupBy("series_id").agg(F.transform(last, lambda x: x["cantidad"]).alias("ultimos"),
+                                          F.max("fecha").alias("ultima_fecha"))
 
 
 def _run_recursion(points: DataFrame, steps: str) -> DataFrame:
@@ -120,8 +125,12 @@ def _run_recursion(points: DataFrame, steps: str) -> DataFrame:
                 y[i, :back - len(h)] = h[0]
             d = get["d"].to_numpy().astype(float)
             coef = np.asarray(get["coef"].to_pylist(), dtype=float)
+            ma = np.asarray(get["ma_coef"].to_pylist(), dtype=float)
+            # Past innovations, oldest first; those ahead are zero.
+            rest = np.concatenate([np.asarray(get["restos"].to_pylist(), dtype=float),
+                                   np.zeros_like(ma)], axis=1)
             const = get["intercepto"].to_numpy()
-            count = get[steps].to_numpy().astype(int)
+            count, width = get[steps].to_numpy().astype(int), ma.shape[1]
             horizon = int(count.max())
             w = np.where(d[:, None] > 0, np.diff(y, axis=1), y[:, 1:])
             level = y[:, -1].copy()
@@ -132,10 +141,13 @@ def _run_recursion(points: DataFrame, steps: str) -> DataFrame:
             out, err = np.zeros((s, horizon)), np.zeros((s, horizon))
             for t in range(horizon):
                 nxt = const + sum(coef[:, i] * w[:, -k] for i, k in enumerate(lags))
+                past = min(t, width)
+                nxt = nxt + (ma[:, ::-1] * rest[:, past:past + width]).sum(axis=1)
                 w = np.column_stack([w[:, 1:], nxt])
                 level = np.where(d > 0, level + nxt, nxt)
                 psi = (np.ones(s) if t == 0 else
-                       sum(coef[:, i] * shock[:, -k] for i, k in enumerate(lags)))
+                       sum(coef[:, i] * shock[:, -k] for i, k in enumerate(lags))
+                       + (ma[:, t - 1] if t <= width else 0.0))
                 shock = np.column_stack([shock[:, 1:], psi])
                 shock_sum = shock_sum + psi
                 var = var + np.where(d > 0, shock_sum, psi) ** 2
@@ -149,14 +161,73 @@ def _run_recursion(points: DataFrame, steps: str) -> DataFrame:
                  pa.array(err[who, step] * sigma[who])],
                 names=["series_id", "ultima_fecha", "paso", "y", "error_std"])
 
-    cols = ["series_id", "ultima_fecha", "ultimos", "d", "coef", "intercepto", "sigma2", steps]
+    cols = ["series_id", "ultima_fecha", "ultimos", "d", "coef", "ma_coef", "restos", "intercepto", "sigma2", steps]
     return points.select(*cols).mapInArrow(
         run, "series_id string, ultima_fecha date, paso int, y double, error_std double")
 
 
+MA_FIT = ("series_id string, d int, ar int, ar_semanal int, ma int, ma_semanal int, n_train bigint, "
+          "intercepto double, coef array<double>, ma_coef array<double>, restos array<double>, "
+          "sigma2 double, aic double, bic double")
+
+
+def moving_average_fit(daily: DataFrame, train_only: bool = False, share: float = 0.2) -> DataFrame:
+    """The best order with moving-average terms per series of at least ``MIN_ROWS`` days.
+
+    ``restos`` are the last innovations, newest last. A series in which no such order holds has an
+    infinite AIC.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            lengths = b["n"].to_numpy()
+            values = [v.values.to_numpy(zero_copy_only=False) for v in b["valores"]]
+            bad = np.array([not np.isfinite(v).all() for v in values])
+            f = fit_best([np.zeros(len(v)) if x else v for v, x in zip(values, bad)],
+                         SHORT_SERIES, MIN_AUTO, lengths)
+            if not f:
+                continue
+            order, params = f["order"].astype("int32"), f["params"]
+            f["aic"][bad] = np.inf
+
+            def rows_of(x):
+                off = np.arange(0, x.size + 1, x.shape[1], dtype="int32")
+                return pa.ListArray.from_arrays(pa.array(off), pa.array(np.ascontiguousarray(x).ravel()))
+
+            yield pa.RecordBatch.from_arrays(
+                [b["series_id"], pa.array(f["d"].astype("int32")), *(pa.array(order[:, k]) for k in range(4)),
+                 pa.array(f["n_train"]), pa.array(params[:, 0]), rows_of(params[:, 1:1 + len(LAGS)]),
+                 rows_of(f["ma_coef"]), rows_of(f["restos"]),
+                 *(pa.array(f[k]) for k in ("sigma2", "aic", "bic"))],
+                names=["series_id", "d", "ar", "ar_semanal", "ma", "ma_semanal", "n_train", "intercepto",
+                       "coef", "ma_coef", "restos", "sigma2", "aic", "bic"])
+
+    ordered_values = F.transform(F.array_sort(F.collect_list(F.struct("fecha", F.coalesce(
+        F.col("cantidad"), F.lit(float("nan"))).alias("cantidad")))), lambda x: x["cantidad"])
+    held = daily.groupBy("series_id").agg(ordered_values.alias("valores")).withColumn(
+        "n", F.size("valores").cast("long")).where(F.col("n") >= MIN_ROWS)
+    if train_only:
+        held = held.withColumn("valores", F.slice("valores", 1, F.floor(F.col("n") * (1 - share)).cast("int")))
+    return held.select("series_id", "n", "valores").mapInArrow(run, MA_FIT)
+
+
 def fit_all(daily: DataFrame, train_only: bool = False) -> DataFrame:
+    """The order of least AIC per series; without moving-average terms on ties."""
     rows = prepared(daily)
-    return best_order(fit_candidates(rows.where("is_train") if train_only else rows))
+    lengths = daily.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    plain = best_order(fit_candidates(rows.where("is_train") if train_only else rows, lengths))
+    mixed = moving_average_fit(daily, train_only)
+    zeros = F.array_repeat(F.lit(0.0), MA_WIDTH)
+    plain = plain.withColumns({"ma": F.lit(0), "ma_semanal": F.lit(0), "ma_coef": zeros, "restos": zeros})
+    names = [c.split()[0] for c in MA_FIT.split(", ")][1:]
+    both = plain.select("series_id", "n", F.struct(*names).alias("_p")).join(
+        mixed.select("series_id", F.struct(*names).alias("_m")), "series_id", "left")
+    best = F.when(F.col("_m.aic") < F.col("_p.aic"), F.col("_m")).otherwise(F.col("_p"))
+    return both.select("series_id", "n", best.alias("b")).select("series_id", "n", "b.*")
 
 
 def predict(daily: DataFrame, horizonte: int, model: DataFrame | None = None) -> DataFrame:
@@ -193,16 +264,16 @@ def evaluate(daily: DataFrame) -> DataFrame:
 
 
 def diagnostics(model: DataFrame) -> DataFrame:
-    return model.select("series_id", "aic", "bic", "ar", "d", "ar_semanal",
+    return model.select("series_id", "aic", "bic", "ar", "d", "ma", "ar_semanal", "ma_semanal",
                         F.lit(PERIOD).alias("periodo"), F.col("n_train").alias("n_observaciones"))
 
 
 def importance(model: DataFrame) -> DataFrame:
-    """Shares of the order's parts (p, d, and 0.3 for a weekly part), summing to 1."""
-    total = F.col("ar") + F.col("d") + 1
-    season = F.when(F.col("ar_semanal") > 0, 0.3).otherwise(0.0)
+    """Shares of the order's parts (p, d, q, and 0.3 for a weekly part), summing to 1."""
+    total = F.col("ar") + F.col("d") + F.col("ma") + 1
+    season = F.when(F.col("ar_semanal") + F.col("ma_semanal") > 0, 0.3).otherwise(0.0)
     parts = {"AR (p)": F.col("ar") / total, "Diferenciación (d)": F.col("d") / total,
-             "MA (q)": F.lit(0.0), "Estacionalidad": season}
+             "MA (q)": F.col("ma") / total, "Estacionalidad": season}
     whole = sum(parts.values(), F.lit(0.0))
     pairs = F.array(*[F.struct(F.lit(k).alias("feature"), (v / whole).alias("importance"))
                       for k, v in parts.items()])

@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from demandara.plans import (features, forecast, linear, ridge, seasonal_ar, short_series,
-                             strategies, trees, trend_season)
+from demandara.plans import (features, forecast, linear, moving_average, ridge, seasonal_ar,
+                             short_series, strategies, trees, trend_season)
 
 from .helpers import (Ridge, by_day, feature_frame, fit_on_first_part, frame, predict_ahead,
                       random_series, series)
@@ -188,9 +188,12 @@ def test_seasonal_ar_recursion(spark):
     w = list(np.diff(y)) if m.d else list(y)
     level = y[-1]
     path = []
+    e = list(m.restos)
     for _ in range(20):
         nxt = m.intercepto + sum(c * w[-k] for c, k in zip(m.coef, seasonal_ar.LAGS))
+        nxt += sum(c * e[-k] for k, c in enumerate(m.ma_coef, 1))
         w.append(nxt)
+        e.append(0.0)
         level = level + nxt if m.d else nxt
         path.append(max(0.0, level))
     np.testing.assert_allclose(got.prediccion, path, rtol=1e-9)
@@ -215,6 +218,103 @@ def test_seasonal_ar_candidate_is_least_squares(spark):
     assert c.aic == pytest.approx(len(t) * math.log(sse / len(t)) + 2 * 5, rel=1e-6)
 
 
+def arma(n, phi, theta, weekly_theta, seed, const=5.0, d=0):
+    """A simulated series with (1 + theta B)(1 + weekly_theta B^7) and unit innovations."""
+    rng = np.random.default_rng(seed)
+    e, w = rng.normal(size=n + 300), np.zeros(n + 300)
+    for t in range(8, n + 300):
+        w[t] = (const + phi * w[t - 1] + e[t] + theta * e[t - 1] + weekly_theta * e[t - 7]
+                + theta * weekly_theta * e[t - 8])
+    return np.cumsum(w[300:]) if d else w[300:]
+
+
+def plain_innovations(y, m, first):
+    w = np.concatenate([[0.0], np.diff(y)]) if m["d"] else np.asarray(y)
+    e = np.zeros(len(w))
+    for t in range(first, len(w)):
+        e[t] = w[t] - m["intercepto"] - sum(c * w[t - k] for c, k in zip(m["coef"], seasonal_ar.LAGS) if c)
+        e[t] -= sum(c * e[t - k] for k, c in enumerate(m["ma_coef"], 1) if t >= k)
+    return e
+
+
+def test_moving_average_recovers_simulated_series(spark):
+    many = {f"S{k}": arma(600, 0.6, 0.5, 0.6, k) for k in range(12)}
+    df = frame(spark, [r for name, y in many.items() for r in series(y, name)])
+    models = [r.asDict() for r in seasonal_ar.fit_all(df).collect()]
+    assert len(models) == 12 and all(m["ma_semanal"] == 1 for m in models)
+    assert sum((m["ar"], m["d"], m["ma"]) == (1, 0, 1) for m in models) >= 6
+    same = [m for m in models if (m["ar"], m["d"], m["ma"], m["ar_semanal"]) == (1, 0, 1, 0)]
+    for m in same:
+        assert m["coef"][0] == pytest.approx(0.6, abs=0.15)
+        assert m["ma_coef"][0] == pytest.approx(0.5, abs=0.15)
+        assert m["ma_coef"][6] == pytest.approx(0.6, abs=0.15)
+        assert m["ma_coef"][7] == pytest.approx(m["ma_coef"][0] * m["ma_coef"][6])
+    for m in models:
+        e = plain_innovations(many[m["series_id"]], m, 15)
+        np.testing.assert_allclose(m["restos"], e[-9:], rtol=1e-8, atol=1e-8)
+        n = 600 - 15
+        assert m["n_train"] == n and m["sigma2"] == pytest.approx((e ** 2).sum() / n)
+        assert m["sigma2"] == pytest.approx(1.0, abs=0.25)
+        k = m["ar"] + m["ar_semanal"] + m["ma"] + m["ma_semanal"] + 2
+        assert m["aic"] == pytest.approx(n * math.log(m["sigma2"]) + 2 * k)
+        assert m["bic"] == pytest.approx(n * math.log(m["sigma2"]) + k * math.log(n))
+
+
+def test_moving_average_forecast_is_the_plain_recursion(spark):
+    y = arma(300, 0.4, 0.7, 0.5, 3, const=0.3, d=1) + 500
+    df = frame(spark, series(y))
+    model = seasonal_ar.fit_all(df)
+    m = model.first().asDict()
+    assert m["ma"] + m["ma_semanal"] > 0
+    got = seasonal_ar.predict(df, 25, model).orderBy("paso").toPandas()
+    w, e, level = list(np.diff(y) if m["d"] else y), list(m["restos"]), y[-1]
+    lags = dict(zip(seasonal_ar.LAGS, m["coef"]))
+    path, psi, spread = [], [], []
+    for t in range(25):
+        w.append(m["intercepto"] + sum(c * w[-k] for k, c in lags.items())
+                 + sum(c * e[-k] for k, c in enumerate(m["ma_coef"], 1)))
+        e.append(0.0)
+        level = level + w[-1] if m["d"] else w[-1]
+        path.append(level)
+        psi.append(1.0 if t == 0 else sum(c * psi[t - k] for k, c in lags.items() if t >= k)
+                   + (m["ma_coef"][t - 1] if t <= 9 else 0.0))
+        weights = np.cumsum(psi) if m["d"] else np.array(psi)
+        spread.append(math.sqrt(m["sigma2"] * (weights ** 2).sum()))
+    np.testing.assert_allclose(got.prediccion, path, rtol=1e-9)
+    np.testing.assert_allclose(got.limite_superior - got.prediccion,
+                               seasonal_ar.Z95 * np.array(spread), rtol=1e-9)
+
+
+def test_refined_moving_average_is_a_least_point():
+    for d in (0, 1):
+        values = [arma(200 + k, 0.5, -0.4, 0.3, k, d=d) for k in range(6)]
+        f = moving_average.fit(values, d, False, False)
+        batch = moving_average.Batch(values, d, False)
+        base = (batch.errors(f["params"][:, None])[:, 0] ** 2).sum(axis=1)
+        np.testing.assert_allclose(base / batch.n, f["sigma2"])
+        on = moving_average._switches(f["order"])
+        for j in range(moving_average.N_PARAMS):
+            for step in (1e-3, -1e-3):
+                moved = f["params"].copy()
+                moved[:, j] += step * np.where(on[:, j], 1 + abs(moved[:, j]), 0)
+                inside = moving_average.invertible(moved[:, -3:])
+                sse = (batch.errors(moved[:, None])[:, 0] ** 2).sum(axis=1)
+                assert (sse[inside] >= base[inside] * (1 - 1e-6)).all()
+
+
+def test_moving_average_of_odd_series(spark):
+    rows = (series([5.0] * 60, "flat") + series([1.0, float("nan")] * 30, "gaps") + series(range(12), "short")
+            + series([0.0] * 59 + [1e12], "spike") + series([3.0] * 9, "tiny") + random_series(25, 4, "middle"))
+    model = {r.series_id: r for r in seasonal_ar.fit_all(frame(spark, rows)).collect()}
+    assert set(model) == {"flat", "gaps", "short", "spike", "middle"}
+    assert model["gaps"].ma == 0 and (model["short"].ar, model["short"].d) == (1, 1)
+    both = seasonal_ar.moving_average_fit(frame(spark, rows))
+    assert {r.series_id: math.isinf(r.aic) for r in both.collect()}["gaps"]
+    orders = seasonal_ar.diagnostics(seasonal_ar.fit_all(frame(spark, rows)))
+    assert {"ar", "d", "ma", "ar_semanal", "ma_semanal", "periodo"} <= set(orders.columns)
+    assert seasonal_ar.fit_all(frame(spark, [])).count() == 0
+
+
 def test_short_series_get_the_default_order(spark):
     out = seasonal_ar.fit_all(frame(spark, random_series(15, 1))).first()
     assert (out.ar, out.d, out.ar_semanal) == (1, 1, 0)
