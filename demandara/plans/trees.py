@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import MODEL_CALENDAR, calendar_columns, cyclic_columns
 from ..operators.joins import horizon_days
 from ..operators.windows import series
+from . import boosting
 from .features import DYNAMIC, MIN_USABLE, NEXT
 from .metrics import error_metrics
 
@@ -27,7 +28,7 @@ TREE_FEATURES = [*MODEL_CALENDAR, *DYNAMIC, *LEVEL_FEATURES]
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """Settings of a pooled ensemble."""
+    """Settings of a pooled ensemble; the penalties count for kind ``second_order`` only."""
     kind: str
     trees: int = 100
     depth: int = 10
@@ -37,14 +38,16 @@ class TreeConfig:
     feature_share: str = "all"
     bins: int = 32
     seed: int = 42
+    l1: float = 0.0
+    l2: float = 0.0
 
 
 # The three ensembles and their default settings.
 CONFIGS = {
     "random_forest": TreeConfig("forest", trees=100, depth=10, min_rows=2),
     "gradient_boosting": TreeConfig("boosting", trees=100, depth=5),
-    "xgboost": TreeConfig("boosting", trees=100, depth=6, row_share=0.8,
-                          feature_share="0.8"),
+    "xgboost": TreeConfig("second_order", trees=100, depth=6, row_share=0.8,
+                          feature_share="0.8", l1=0.1, l2=1.0),
 }
 
 
@@ -89,6 +92,12 @@ def fit_trees(split: DataFrame, cfg: TreeConfig | str = "random_forest"):
     # Spread the rows evenly: every tree level scans them, and the partitions left by the
     # windows follow the series.
     even = split.sparkSession.sparkContext.defaultParallelism
+    if cfg.kind == "second_order":
+        share = 1.0 if cfg.feature_share == "all" else float(cfg.feature_share)
+        table = _vector(rows).select("features", "_objetivo", F.xxhash64("series_id", "fecha").alias("_k"))
+        return boosting.fit(table.repartition(even), trees=cfg.trees, depth=cfg.depth, rate=cfg.rate,
+                            row_share=cfg.row_share, feature_share=share, l1=cfg.l1, l2=cfg.l2,
+                            bins=cfg.bins, seed=cfg.seed)
     return _estimator(cfg).fit(_vector(rows).select("features", "_objetivo")
                                .repartition(even))
 
@@ -120,6 +129,8 @@ def predict(split: DataFrame, model, horizonte: int,
 
 def importance(model, spark) -> DataFrame:
     """Importance of each feature, largest first (one row per feature)."""
-    pairs = list(zip(TREE_FEATURES, [float(x) for x in model.featureImportances.toArray()]))
+    shares = (model.importance if isinstance(model, boosting.Boosted)
+              else model.featureImportances.toArray())
+    pairs = list(zip(TREE_FEATURES, [float(x) for x in shares]))
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(
         F.desc("importance"), "feature")
