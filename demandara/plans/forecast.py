@@ -11,6 +11,7 @@ from ..functions.calendar import short_weekday
 from ..session import materialise
 from . import ridge
 from .features import MIN_USABLE, feature_rows, temporal_split
+from .recursive import recent_values
 from .short_series import short_forecast, short_metrics, short_stats
 
 # Normal factors by confidence level, and the one for any other level.
@@ -20,15 +21,17 @@ METRICS = ["mae", "rmse", "r2", "mape"]
 
 
 def linear_forecast(daily: DataFrame, horizonte: int = 30, mode: str = "reference",
-                    refit: bool = False) -> tuple[DataFrame, DataFrame]:
+                    refit: bool = False, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(predictions, metrics) of every series: the linear model where at least 5 usable
-    rows exist, the short-series fallback elsewhere."""
+    rows exist, the short-series fallback elsewhere. ``recursive`` rebuilds the features of each
+    day ahead from the days predicted before it (for ``mode="causal"``)."""
     split = materialise(temporal_split(feature_rows(daily, mode)))
     coefs = materialise(ridge.fit_ridge(split, refit=refit))
     points = ridge.start_points(split)
     few = split.where(F.col("m") < MIN_USABLE).select("series_id", "fecha", "cantidad")
     stats = short_stats(few)
-    pred = ridge.predict(points, coefs, horizonte).unionByName(
+    values = recent_values(split) if recursive else None
+    pred = ridge.predict(points, coefs, horizonte, values=values).unionByName(
         short_forecast(stats, horizonte))
     metrics = (ridge.evaluate(split, coefs).withColumn("modelo", F.lit("linear"))
                .unionByName(short_metrics(stats).select("series_id", *METRICS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import MODEL_CALENDAR, calendar_columns, cyclic_columns
 from ..operators.joins import horizon_days
+from . import recursive
 from .features import (DYNAMIC, FEATURES, MIN_USABLE, NEXT, centred, design_row,
                        feature_rows, temporal_split)
 from .linear import dot, fit
@@ -60,12 +61,22 @@ def calendar_part(fecha: Column, consistent_flags: bool = False) -> Column:
 
 
 def predict(points: DataFrame, coefs: DataFrame, horizonte: int,
-            consistent_flags: bool = False) -> DataFrame:
-    """Days ahead: calendar of each day, all other features as on the last day."""
+            consistent_flags: bool = False, values: DataFrame | None = None) -> DataFrame:
+    """Days ahead: calendar of each day, all other features as on the last day.
+
+    With ``values`` (``recursive.recent_values``) the prediction is recursive: lags and windows of
+    each day are rebuilt from the values before it, predicted ones included. Fit on causal features
+    for it, whose windows end a day earlier as well.
+    """
+    if values is not None:
+        return _recursive(points, coefs, horizonte, consistent_flags, values)
     base = (points.join(coefs.select("series_id", "intercepto", "coef"), "series_id")
             .select("series_id", "ultima_fecha", "coef", frozen_part().alias("_fijo")))
     raw = F.col("_fijo") + calendar_part(F.col("fecha"), consistent_flags)
-    days = horizon_days(base, horizonte).withColumn("_y", raw)
+    return _banded(horizon_days(base, horizonte).withColumn("_y", raw))
+
+
+def _banded(days: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     return days.select(
         "series_id", "paso", "fecha", F.greatest(zero, "_y").alias("prediccion"),
@@ -73,6 +84,18 @@ def predict(points: DataFrame, coefs: DataFrame, horizonte: int,
         (F.col("_y") * 1.2).alias("limite_superior"))
 
 
+def _recursive(points: DataFrame, coefs: DataFrame, horizonte: int, consistent_flags: bool,
+               values: DataFrame) -> DataFrame:
+    days = F.sequence(F.lit(1), F.lit(horizonte))
+    rows = (points.join(coefs.select("series_id", "intercepto", "coef"), "series_id")
+            .join(values, "series_id")
+            .withColumns({"base": F.col("media") + F.col("intercepto"),
+                          "calendario": F.transform(days, lambda k: calendar_part(
+                              F.date_add("ultima_fecha", k), consistent_flags))}))
+    return _banded(recursive.unfold(rows, horizonte).withColumns({
+        "fecha": F.date_add("ultima_fecha", F.col("paso")), "_y": F.col("y")}))
+
+
 def train(daily: DataFrame, mode: str = "reference", alpha: float = 1.0,
           refit: bool = False) -> tuple[DataFrame, DataFrame]:
     """(split feature rows, coefficients)."""

@@ -54,8 +54,8 @@ def with_fallback(daily: DataFrame, few: DataFrame, pred: DataFrame, metrics: Da
             metrics.select(*names).unionByName(short_series.short_metrics(stats).select(*names)))
 
 
-def _linear(daily, horizonte, mode="reference", refit=False) -> Result:
-    return forecast.linear_forecast(daily, horizonte, mode, refit)
+def _linear(daily, horizonte, mode="reference", refit=False, recursive=False) -> Result:
+    return forecast.linear_forecast(daily, horizonte, mode, refit, recursive)
 
 
 def _trees(kind: str):

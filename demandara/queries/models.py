@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..plans import features as feat
 from ..plans import forecast, ridge, seasonal_ar, short_series, trees, trend_season
+from ..plans.recursive import recent_values
+from ..session import materialise
 from . import fixtures as fx
 from .registry import query, re, rounded
 from .windows import SLOPE_SQL, _lag, _rows
@@ -130,6 +132,12 @@ def m13(spark, sf):
     return ridge.predict(ridge.start_points(split), coefs, 30)
 
 
+@query("m13_predict_recursive")
+def m13_recursive(spark, sf):
+    split, coefs = ridge.train(fx.serie_part(spark, sf), mode="causal")
+    return ridge.predict(ridge.start_points(split), coefs, 30, values=recent_values(split))
+
+
 @query("m14_intervals_by_level", f"""
   SELECT series_id, paso, {re('p', 'prediccion', 6)},
          {re('greatest(0, p - 0.8225 * mae)', 'limite_inferior', 6)},
@@ -267,21 +275,21 @@ def m20(spark, sf):
     return rounded(out, *KPIS)
 
 
-def _tree_split(spark, sf):
-    return feat.temporal_split(feat.feature_rows(fx.serie_brand(spark, sf)))
+def _tree_split(spark, sf, series=fx.serie_brand):
+    return feat.temporal_split(feat.feature_rows(series(spark, sf)))
 
 
-def _tree_query(key: str, name: str):
+def _tree_query(key: str, name: str, series=fx.serie_brand):
     @query(key)
     def run(spark, sf):
-        split = _tree_split(spark, sf)
+        split = materialise(_tree_split(spark, sf, series))
         return trees.predict(split, trees.fit_trees(split, name), 30)
     return run
 
 
 m06 = _tree_query("m06_random_forest", "random_forest")
 m07 = _tree_query("m07_gradient_boosting", "gradient_boosting")
-m08 = _tree_query("m08_boosted_regularised", "xgboost")
+m08 = _tree_query("m08_boosted_regularised", "xgboost", fx.serie_part)
 
 
 @query("m06_forest_test_metrics")

@@ -6,10 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from demandara.plans import (features, forecast, linear, moving_average, ridge, seasonal_ar,
+from demandara.plans import (features, forecast, linear, moving_average, recursive, ridge, seasonal_ar,
                              short_series, strategies, trees, trend_season)
 
-from .helpers import (Ridge, by_day, feature_frame, fit_on_first_part, frame, predict_ahead,
+from .helpers import (Ridge, by_day, calendar, feature_frame, fit_on_first_part, frame, predict_ahead,
                       random_series, series)
 
 LONG = [random_series(n, n, f"S{n}") for n in (36, 48, 90, 200)]
@@ -179,6 +179,47 @@ def test_trend_and_season_follows_a_clean_pattern(spark):
     assert np.isfinite(rebuilt).all() and len(parts) == n
 
 
+def plain_recursion(rows, model, days):
+    """Day by day: the causal features of a next row, recomputed in pandas from all values."""
+    p = pd.DataFrame(rows, columns=["series_id", "fecha", "cantidad"])
+    n, media, out = len(p), p.cantidad.mean(), []
+    y = p.cantidad.tolist()
+    for k in range(1, days + 1):
+        day = p.fecha.iloc[-1] + dt.timedelta(days=k)
+        cal = calendar(pd.DataFrame({"fecha": [day]}), at_prediction=True).iloc[0]
+        past = pd.Series(y)
+        known = {f"cantidad_lag_{j}": y[-j] - media for j in (1, 7, 14, 30)
+                 if n >= (1 if j == 1 else 7 if j == 7 else 35)}
+        known["cantidad_ma_7"] = past[-7:].mean() - media
+        known["cantidad_std_7"] = past[-7:].std()
+        known["cantidad_diff"] = y[-1] - y[-2]
+        if n >= 30:
+            known["cantidad_ma_30"] = past[-30:].mean() - media
+        value = media + model.intercepto + sum(
+            c * (cal[f] if f in cal.index else known.get(f, 0.0)) for f, c in zip(features.FEATURES, model.coef))
+        out.append(max(0.0, value))
+        y.append(out[-1])
+    return out
+
+
+def test_recursive_prediction_is_the_plain_loop(spark):
+    many = LONG + [random_series(12, 5, "S12"), random_series(33, 6, "S33")]
+    df = frame(spark, [r for rows in many for r in rows])
+    split, coefs = ridge.train(df, mode="causal")
+    got = ridge.predict(ridge.start_points(split), coefs, 40, values=recursive.recent_values(split)).toPandas()
+    models = {r.series_id: r for r in coefs.collect()}
+    assert len(models) == len(many)
+    for rows in many:
+        mine = got[got.series_id == rows[0][0]].sort_values("paso")
+        np.testing.assert_allclose(mine.prediccion, plain_recursion(rows, models[rows[0][0]], 40),
+                                   rtol=1e-8, atol=1e-8)
+        assert mine.fecha.iloc[0] == rows[-1][1] + dt.timedelta(days=1)
+    pred, _ = strategies.run("linear", df, 5, mode="causal", recursive=True)
+    first = pred.where("paso = 1").toPandas().set_index("series_id").prediccion
+    want = got[got.paso == 1].set_index("series_id").prediccion
+    np.testing.assert_allclose(first[want.index], want)
+
+
 def test_seasonal_ar_recursion(spark):
     df = frame(spark, weekly(120, noise=1.0))
     model = seasonal_ar.fit_all(df)
