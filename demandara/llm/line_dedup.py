@@ -14,7 +14,8 @@ an equal line or one within the edit bound stands earlier, by document id (null
 by line number; the earlier line need not stay itself. Lines of fewer than ``min_chars`` characters
 have no edit bound: they go if an equal line stands earlier and they have ``exact_chars`` characters
 at least, else they stay, as blank lines do. Rows with the same id and text are one document given twice and get the same
-result. Null text stays null and has no lines. An empty table gives no rows.
+result. Null text stays null and has no lines. An empty table gives no rows. Extra columns are kept,
+whatever their names. A text of any length is compared line by line as a whole.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
                     exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; all columns and rows stay.
 
-    ``counts`` adds n_lines and n_removed. ``exact_chars`` is the floor of exact repeats
+    ``counts`` adds n_lines and n_removed, with underscores after names that are taken. ``exact_chars`` is the floor of exact repeats
     (``min_chars`` where not given).
     """
     gone = repeated_lines(docs, min_chars, id_col, text_col, exact_chars)
@@ -178,6 +179,6 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
     result = F.when(gone["_gone"].isNull(), text).otherwise(shorter)
     columns = [result.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns]
     if counts:
-        columns += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias("n_removed")]
+        columns += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(fresh(docs, "n_lines")),
+                    F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias(fresh(docs, "n_removed"))]
     return joined.select(*columns)

@@ -88,7 +88,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_line_dedup", WITHOUT_REPEATS)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return without_repeats(docs, counts=True)
+    return without_repeats(docs, counts=True, exact_chars=1)
 
 
 @query("op8_license_scans")

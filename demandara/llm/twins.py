@@ -29,7 +29,7 @@ WHERE 5 * n_shared >= 4 * n_item
 """
 
 #: Two lines are within one edit when they are equal without the character at the same place, or
-#: when one without a character is the other.
+#: when one without a character is the other. Lines under 20 characters go if they are equal only.
 WITHOUT_REPEATS = r"""
 WITH parts AS (
   SELECT doc_id, no, raw, trim(raw, ' ') AS line
@@ -39,16 +39,17 @@ WITH parts AS (
 placed AS (
   SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, no) AS place FROM parts),
 firsts AS (
-  SELECT line, min(place) AS place FROM placed WHERE length(line) >= 20 GROUP BY line),
+  SELECT line, min(place) AS place FROM placed WHERE line <> '' GROUP BY line),
+long AS (SELECT * FROM firsts WHERE length(line) >= 20),
 variants AS (
   SELECT line, place, p, substring(line, 1, p - 1) || substring(line, p + 1) AS v
-  FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS p FROM firsts)),
+  FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS p FROM long)),
 swapped AS (
   SELECT line FROM (SELECT line, place, min(place) OVER (PARTITION BY p, v) AS earliest
                     FROM variants) WHERE place > earliest),
 longer AS (
   SELECT a.line AS one, a.place AS place_one, b.line AS other, b.place AS place_other
-  FROM variants a JOIN firsts b ON a.v = b.line),
+  FROM variants a JOIN long b ON a.v = b.line),
 near AS (
   SELECT line FROM swapped
   UNION SELECT CASE WHEN place_one > place_other THEN one ELSE other END FROM longer),

@@ -226,16 +226,20 @@ def one_edit(a, b):
     return a[k + (len(a) == len(b)):] == b[k + 1:]
 
 
-def plain_dedup(rows, least):
-    seen, out = [], {}
+def plain_dedup(rows, least, exact=None):
+    seen, short, out = [], set(), {}
     for k, text in sorted(rows):
         kept = []
         for line in text.split("\n"):
             s = line.strip(" ")
-            if len(s) < least or not any(one_edit(s, o) for o in seen):
-                kept.append(line)
             if len(s) >= least:
+                gone = any(one_edit(s, o) for o in seen)
                 seen.append(s)
+            else:
+                gone = exact is not None and len(s) >= exact and s in short
+                short.add(s)
+            if not gone:
+                kept.append(line)
         out[k] = "\n".join(kept)
     return out
 
@@ -252,7 +256,7 @@ def test_line_dedup(spark, seed):
 
 def test_line_dedup_of_documents(spark, sf, texts):
     got = {x["doc_id"]: x["text"] for x in QUERIES["op4_line_dedup"].run(spark, sf).collect()}
-    assert got == plain_dedup(texts.items(), 20)
+    assert got == plain_dedup(texts.items(), 20, 1)
 
 
 def test_line_dedup_of_odd_rows(spark, odd):
@@ -627,15 +631,27 @@ def test_pipeline(spark, sf):
     check_packing(rows, 2048)
 
 
-def test_pipeline_on_odd_rows(spark, odd, sf):
-    kept = odd
-    for _, stage in corpus_pipeline.STAGES[:1]:
-        kept = stage(spark, kept, sf)
-    docs = odd.select("doc_id", "text", "lang").withColumns(
-        {"source": F.lit(None).cast("string"), "n_chars": F.lit(1).cast("long")})
-    for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
-    assert docs.columns[-1] == "offset"
+@pytest.mark.parametrize("kind", ["odd", "empty", "nulls", "plain"])
+def test_pipeline_on_odd_rows(spark, odd, sf, kind):
+    """Clashing and missing columns, no rows, and nothing but nulls."""
+    docs = odd.withColumns({"source": F.lit(None).cast("string"), "n_removed": F.lit("a"),
+                            "n_lines": F.lit(7), "n_removed_": F.lit(1)})
+    if kind == "plain":
+        docs = odd.select("doc_id", "text", "lang")
+    if kind == "empty":
+        docs = docs.limit(0)
+    if kind == "nulls":
+        docs = docs.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    texts = {r["doc_id"] for r in docs.collect()}
+    assert {r["doc_id"] for r in packed} == texts
+    assert bool(packed) == (kind != "empty")  # nothing is learned from nulls, so their one copy stays
+    if kind == "odd":
+        assert {(r["n_removed"], r["n_lines"], r["n_removed_"]) for r in docs.collect()} == {("a", 7, 1)}
 
 
 @pytest.mark.parametrize("key", ["op2_benchmark_decontamination", "op4_line_dedup"])
