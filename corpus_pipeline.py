@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandara.llm.arrow import fresh
 from demandara.llm.decontamination import decontaminate
 from demandara.llm.language_id import identified, learn, limits
 from demandara.llm.line_dedup import without_repeats
@@ -29,11 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts, exact repeats at any length; n_chars follows."""
-    found = without_repeats(docs, counts=True, exact_chars=1)
-    return found.withColumn("n_chars", F.when(
-        F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    """Takes repeated lines out of the texts, exact repeats at any length; n_chars follows if there."""
+    found, removed = without_repeats(docs, counts=True, exact_chars=1), fresh(docs, "n_removed")
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(
+            F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
