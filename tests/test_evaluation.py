@@ -87,6 +87,33 @@ def test_walk_forward_refuses_unknown_models(spark):
         backtest.walk_forward(frame(spark, random_series(90, 1)), "other")
 
 
+@pytest.mark.parametrize("modelo", ["xgboost", "random_forest"])
+def test_pooled_back_test_never_sees_later_days(spark, modelo):
+    """What another, longer series does after a cut must not change the forecast of that cut."""
+    short, long = random_series(110, 1, "a"), random_series(170, 2, "b")
+    changed = long[:100] + [(n, d, v * 50 + 1000) for n, d, v in long[100:]]
+    got = []
+    for other in (long, changed):
+        out = backtest.walk_forward(frame(spark, short + other), modelo, ventana=10, n_pasos=2, min_train=60,
+                                    trees=3, depth=3).toPandas()
+        got.append(out[out.series_id == "a"].sort_values(["corte", "dia"]).reset_index(drop=True))
+        assert set(out.series_id) == {"a", "b"} and len(out) == 40
+    cuts = sorted(got[0].corte.unique())
+    assert len(cuts) == 2 and cuts[-1] <= short[-1][1] and cuts[0] <= long[99][1]
+    early = got[0].corte <= long[99][1]
+    np.testing.assert_allclose(got[0].prediccion[early], got[1].prediccion[early], rtol=1e-9)
+
+
+def test_model_dates_cover_every_cut(spark):
+    days = [dt.date(2023, 1, 30) + dt.timedelta(days=k) for k in range(40)]
+    cuts = spark.createDataFrame([(f"s{k}", d) for k, d in enumerate(days + days[30:] * 5)],
+                                 "series_id string, corte date")
+    assert backtest.model_dates(cuts, 40) == days
+    few = backtest.model_dates(cuts, 6)
+    assert few[0] == days[0] and few == sorted(set(few)) and len(few) == 6 and few[-1] >= days[30]
+    assert backtest.model_dates(cuts.limit(0), 6) == []
+
+
 def test_ensemble_back_test_without_cuts(spark):
     df = frame(spark, random_series(40, 1))
     assert backtest.walk_forward(df, "random_forest").count() == 0
