@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.demand import daily_demand
 from ..operators.quality import QualityConfig, flag_iqr, flag_mad, flag_zscore, quality_score
 from ..session import materialise
-from . import backtest, crossval, forecast, registry, ridge, strategies
-from .features import feature_rows, temporal_split
+from . import backtest, crossval, forecast, registry, stored, strategies
 
 MIN_DAYS = 10
 
@@ -133,26 +132,16 @@ def _by_choice(good: DataFrame, best: DataFrame, cfg: ForecastConfig):
 
 
 def save_run(store: registry.ModelStore, daily: DataFrame, run_id: str | None = None,
-             overwrite: bool = False, horizonte: int = 30) -> str:
-    """Fit the linear model of every series and store coefficients and metadata."""
-    split = materialise(temporal_split(feature_rows(daily)))
-    coefs = materialise(ridge.fit_ridge(split))
-    level = split.where("is_last").select("series_id", "media")
-    meta = registry.metadata_rows(ridge.evaluate(split, coefs), daily, "linear",
-                                  features=ridge.FEATURES, params={"alpha": 1.0},
-                                  horizonte=horizonte)
-    return store.save(meta, coefs.join(level, "series_id"), run_id, overwrite)
+             overwrite: bool = False, horizonte: int = 30, modelo: str = "linear", **settings) -> str:
+    """Fit any registered model on every series and store it with its metadata."""
+    return stored.save(store, daily, modelo, run_id, overwrite, horizonte, **settings)
 
 
 def predict_from_saved(store: registry.ModelStore, run_id: str, daily: DataFrame,
-                       horizonte: int = 30, mode: str = "reference") -> DataFrame:
-    """Predict with stored coefficients on recent history.
+                       horizonte: int = 30) -> DataFrame:
+    """Predict with a stored run on recent history.
 
     Stored coefficients apply relative to the mean of the series they were fitted on, so
-    that mean is stored with them.
+    that mean is stored with them; features are those of the mode that the run was fitted in.
     """
-    coefs = store.load(run_id)
-    split = temporal_split(feature_rows(daily, mode))
-    points = ridge.start_points(split).drop("media").join(
-        coefs.select("series_id", "media"), "series_id")
-    return ridge.predict(points, coefs.drop("media"), horizonte)
+    return stored.predict(store, run_id, daily, horizonte)

@@ -232,9 +232,17 @@ def fit_all(daily: DataFrame, train_only: bool = False) -> DataFrame:
 
 def predict(daily: DataFrame, horizonte: int, model: DataFrame | None = None) -> DataFrame:
     """Days ahead after the last observed day, from a fit on all rows."""
+    return predict_points(saved_points(daily, model), horizonte)
+
+
+def saved_points(daily: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """One row per series with its model and last values: all that a forecast needs."""
     model = fit_all(daily) if model is None else model
-    points = _state(daily).join(model, "series_id").withColumn("_h", F.lit(horizonte))
-    path = _run_recursion(points, "_h")
+    return _state(daily).join(model, "series_id")
+
+
+def predict_points(points: DataFrame, horizonte: int) -> DataFrame:
+    path = _run_recursion(points.withColumn("_h", F.lit(horizonte)), "_h")
     reach = F.col("error_std") * Z95
     zero = F.lit(0.0)
     return path.select(

@@ -124,10 +124,10 @@ def e19(spark, sf):
     return registry.old_models(models(spark, sf), 7, now=now).select("model_id", "material")
 
 
-def _saved(spark, sf):
+def _saved(spark, sf, modelo="linear"):
     store = registry.ModelStore(spark, sinks.scratch_folder(spark))
     daily = fx.serie_part(spark, sf)
-    return store, flow.save_run(store, daily), daily
+    return store, flow.save_run(store, daily, modelo=modelo), daily
 
 
 @query("s16_model_store")
@@ -143,6 +143,12 @@ def m22(spark, sf):
     return flow.predict_from_saved(store, run_id, daily)
 
 
+@query("m22_predict_from_saved_orders")
+def m22_orders(spark, sf):
+    store, run_id, daily = _saved(spark, sf, "arima")
+    return flow.predict_from_saved(store, run_id, daily)
+
+
 @query("s14_sink_report_tables")
 def s14(spark, sf):
     from .models import short_forecast

@@ -250,6 +250,57 @@ def test_model_store(spark, tmp_path):
                                fresh.sort_values(key).prediccion, rtol=1e-9)
 
 
+STORED = {"linear": {}, "short": {}, "prophet": {}, "arima": {}, **SMALL}
+
+
+@pytest.mark.parametrize("modelo", list(STORED))
+def test_every_model_is_stored_whole(spark, tmp_path, modelo):
+    from demandara.plans import strategies, stored
+    assert set(stored.MODELS) == set(strategies.available()) == set(STORED)
+    store = registry.ModelStore(spark, str(tmp_path / "m"))
+    daily = frame(spark, random_series(80, 1, "a") + random_series(60, 2, "b") + random_series(4, 3, "c"))
+    flow.save_run(store, daily, "r1", modelo=modelo, **STORED[modelo])
+    other = registry.ModelStore(spark, str(tmp_path / "m"))
+    got = flow.predict_from_saved(other, "r1", daily, 6).toPandas()
+    fresh = strategies.run(modelo, daily, 6, **STORED[modelo])[0].toPandas()
+    if modelo == "linear":  # stores what it fitted, without the fallback
+        fresh = fresh[fresh.series_id != "c"]
+    key = ["series_id", "paso"]
+    got, fresh = (x.sort_values(key).reset_index(drop=True) for x in (got, fresh))
+    assert got[key].equals(fresh[key]) and (got.fecha == fresh.fecha).all()
+    for c in ("prediccion", "limite_inferior", "limite_superior"):
+        np.testing.assert_allclose(got[c], fresh[c], rtol=1e-9, atol=1e-9)
+    assert {m.modelo_tipo for m in other.metadata().collect()} == {modelo}
+    kept = other.purge(30)
+    again = flow.predict_from_saved(kept, "r1", daily, 6).toPandas().sort_values(key)
+    np.testing.assert_allclose(again.prediccion, got.prediccion, rtol=1e-9, atol=1e-9)
+
+
+def test_a_run_that_was_cut_off_is_not_listed(spark, tmp_path, monkeypatch):
+    store = registry.ModelStore(spark, str(tmp_path / "m"))
+    daily = frame(spark, random_series(60, 1, "a"))
+    flow.save_run(store, daily, "whole", modelo="short")
+
+    def cut(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(registry.ModelStore, "_finish", cut)
+        for run, again in (("half", False), ("whole", True)):
+            with pytest.raises(RuntimeError):
+                flow.save_run(store, daily, run, again, modelo="linear")
+    assert [r.run_id for r in store.metadata().select("run_id").distinct().collect()] == ["whole"]
+    assert {r.modelo_tipo for r in store.metadata().collect()} == {"short"}
+    with pytest.raises(ValueError):
+        store.load("half")
+    flow.save_run(store, daily, "half", modelo="short")
+    assert len(store.manifests()) == 2 and store.load("half").count() == 1
+    with pytest.raises(ValueError, match="no store"):
+        flow.save_run(store, daily, modelo="otro")
+    with pytest.raises(ValueError, match="no Spark ML"):
+        store.load_ml("half")
+
+
 def test_purge_keeps_the_best(spark, tmp_path):
     store = registry.ModelStore(spark, str(tmp_path / "m"))
     daily = frame(spark, series(range(30), "x"))
