@@ -15,6 +15,7 @@ the two ends of its band. The share ``contamination`` of rows with the least dep
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .quality import DEFAULTS, QualityConfig
 from .quantiles import quantiles_of_counts, value_band, value_counts
 
 EULER = 0.5772156649015329
+#: Bands whose far sums one row works out.
+STEP = 256
 
 
 def harmonic(x, log=F.log):
@@ -39,11 +42,13 @@ def stretch(distance, width, n, log=F.log):
     return harmonic(x + n - 1, log) - harmonic(x, log)
 
 
-def far_sums(lo, hi, n):
-    """Depth at both ends of every band due to all that lies beyond the neighbouring bands."""
+def far_sums(lo, hi, n, first=0, last=None):
+    """Depth at both ends of the bands from ``first`` to ``last`` due to all that lies beyond the
+    neighbouring bands."""
     import numpy as np
 
     size = len(lo)
+    last = size if last is None else min(last, size)
     n = n.astype("float64")
     dense = np.flatnonzero(n > 1)
     width, count = (hi - lo)[dense], n[dense]
@@ -51,39 +56,36 @@ def far_sums(lo, hi, n):
     band, between = dense[None, :], np.arange(size - 1)[None, :]
     out = []
     for ends in (lo, hi):
-        total = np.zeros(size)
-        for a in range(0, size, 256):
-            i = np.arange(a, min(a + 256, size))[:, None]
-            v = ends[a:a + 256][:, None]
+        total = np.zeros(last - first)
+        for a in range(first, last, STEP):
+            i = np.arange(a, min(a + STEP, last))[:, None]
+            v = ends[i]
+            here = slice(a - first, a - first + len(i))
             for far, span in ((between < i - 1, v - left), (between > i, right - v)):
-                total[a:a + 256] += np.where(far, gap / np.where(far, span, 1.0), 0.0).sum(axis=1)
+                total[here] += np.where(far, gap / np.where(far, span, 1.0), 0.0).sum(axis=1)
             before, after = band < i - 1, band > i + 1
             span = np.where(before, v - hi[dense], np.where(after, lo[dense] - v, 1.0))
             part = stretch(span, width, count, np.log)
-            total[a:a + 256] += np.where(before | after, part, 0.0).sum(axis=1)
+            total[here] += np.where(before | after, part, 0.0).sum(axis=1)
         out.append(total)
     return out
 
 
 def _band_rows(keys: list[str]):
-    """Arrow mapper from one row per group, with all its bands, to one row per band."""
+    """Arrow mapper from rows of a group's whole bands and a place in them to a row per band there."""
     def mapper(batches):
         import numpy as np
-        import pyarrow as pa
 
         for b in batches:
-            cells = b.column("_cells")
-            sizes = cells.value_lengths().to_numpy(zero_copy_only=False)
-            flat = cells.flatten()
-            lo, hi, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "n"))
-            ends = np.cumsum(sizes)
-            far = [far_sums(lo[e - s:e], hi[e - s:e], n[e - s:e]) for s, e in zip(sizes, ends)]
-            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            joined = [np.concatenate([f[k] for f in far]) if far else np.zeros(0) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(k).take(row) for k in keys], flat.field("b"), pa.array(lo),
-                 pa.array(hi), pa.array(n), *[pa.array(j) for j in joined]],
-                names=[*keys, "_b", "_lo", "_hi", "_k", "_far_lo", "_far_hi"])
+            for row in range(b.num_rows):
+                cells, first = b["_cells"][row].values, b["_first"][row].as_py()
+                lo, hi, n = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "n"))
+                far = far_sums(lo, hi, n, first, first + STEP)
+                here = cells.slice(first, STEP)
+                yield pa.RecordBatch.from_arrays(
+                    [*[b[k].take(pa.array(np.full(len(here), row))) for k in keys], here.field("b"),
+                     here.field("lo"), here.field("hi"), here.field("n"), *[pa.array(f) for f in far]],
+                    names=[*keys, "_b", "_lo", "_hi", "_k", "_far_lo", "_far_hi"])
 
     return mapper
 
@@ -99,29 +101,46 @@ def band_table(counts: DataFrame, keys: list[str]) -> DataFrame:
         c["b"].alias("b"),
         F.get("_cells", i - 1).alias("prev"), F.get("_cells", i + 1).alias("next")))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema if f.name in keys]
-    far = groups.mapInArrow(_band_rows(keys), ", ".join(
+    # A group with many bands is worked on in steps, each a row of its own.
+    steps = groups.select("*", F.explode(F.sequence(F.lit(0), F.size("_cells") - 1, F.lit(STEP))).alias("_first"))
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    far = steps.repartition(n, *keys, "_first").mapInArrow(_band_rows(keys), ", ".join(
         [*kinds, "_b long", "_lo double", "_hi double", "_k long", "_far_lo double",
          "_far_hi double"]))
     near = groups.select(*keys, F.inline(around)).withColumnRenamed("b", "_b")
     return far.join(near, [*keys, "_b"])
 
 
-def _depth() -> Column:
-    v = F.col("_v").cast("double")
-    lo, hi, n = F.col("_lo"), F.col("_hi"), F.col("_k")
-    width = hi - lo
-    at = (v - lo) / F.when(width > 0, width)
-    own = harmonic(at * (n - 1)) + harmonic((1 - at) * (n - 1))
-    far = F.col("_far_lo") + (F.col("_far_hi") - F.col("_far_lo")) * F.coalesce(at, F.lit(0.0))
-    total = far + F.coalesce(own, F.lit(0.0))
-    for side, gap, distance in (("prev", lo - F.col("prev.hi"), v - F.col("prev.hi")),
-                                ("next", F.col("next.lo") - hi, F.col("next.lo") - v)):
-        span = F.col(f"{side}.hi") - F.col(f"{side}.lo")
-        dense = stretch(distance, F.when(span > 0, span), F.col(f"{side}.n"))
-        total = total + F.coalesce(gap / distance, F.lit(0.0)) + F.coalesce(dense, F.lit(0.0))
+def depths(v, lo, hi, n, far_lo, far_hi, *around):
+    """Depth of values from their band, its far sums, and (lo, hi, n) of the bands before and after.
+
+    Arrays; missing neighbours are NaN. The sum is too long an expression for generated code.
+    """
+    import numpy as np
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        width = hi - lo
+        at = np.where(width > 0, (v - lo) / width, np.nan)
+        own = harmonic(at * (n - 1), np.log) + harmonic((1 - at) * (n - 1), np.log)
+        total = far_lo + (far_hi - far_lo) * np.nan_to_num(at) + np.nan_to_num(own)
+        before, after = around[:3], around[3:]
+        for (o_lo, o_hi, o_n), gap, distance in ((before, lo - before[1], v - before[1]),
+                                                 (after, after[0] - hi, after[0] - v)):
+            span = o_hi - o_lo
+            dense = stretch(distance, np.where(span > 0, span, np.nan), o_n, np.log)
+            total = total + np.nan_to_num(gap / distance) + np.nan_to_num(dense)
     return total
 
 
+def _depth() -> Column:
+    @F.arrow_udf("double")
+    def depth(*columns: pa.Array) -> pa.Array:
+        return pa.array(depths(*(c.to_numpy(zero_copy_only=False).astype("float64") for c in columns)))
+
+    own = [F.col("_v").cast("double"), "_lo", "_hi", "_k", "_far_lo", "_far_hi"]
+    return depth(*own, *[f"{side}.{name}" for side in ("prev", "next") for name in ("lo", "hi", "n")])
+
+
 def value_depths(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Depth of every distinct value of every group, with its number of rows."""
     counts = value_counts(rows, keys, column).withColumn("_b", value_band(F.col("_v")))
