@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHA = 1.0
+#: Sweeps of coordinate descent after which a problem counts as not settled; its coefficients are NaN.
+SWEEPS = 100_000
 
 
 def product_sums(rows: DataFrame, keys: list[str], z: Column, width: int) -> DataFrame:
@@ -93,7 +95,7 @@ def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge"
             diag = np.einsum("sii->si", a)
             safe = np.where(diag > 0, diag, 1.0)
             left = np.arange(len(b))  # each problem stops by itself
-            for _ in range(1000):
+            for _ in range(SWEEPS):
                 before, now = w[left], w[left]
                 for j in range(p):
                     r = (b[left, j] - np.einsum("sk,sk->s", a[left, j, :], now)
@@ -104,8 +106,22 @@ def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge"
                 left = left[np.max(np.abs(now - before), axis=1, initial=0.0) >= 1e-9]
                 if not len(left):
                     break
+            w[left] = np.nan  # not settled: no numbers rather than wrong ones
             return w
 
+        def penalised(full, b):
+            """Each problem by itself, so that a singular one does not change its neighbours."""
+            try:
+                return np.linalg.solve(full, b[:, :, None])[..., 0]
+            except np.linalg.LinAlgError:
+                w = np.empty_like(b)
+                for i in range(len(b)):
+                    try:
+                        w[i] = np.linalg.solve(full[i], b[i])
+                    except np.linalg.LinAlgError:  # least norm for this one
+                        w[i] = np.linalg.pinv(full[i], rcond=1e-10, hermitian=True) @ b[i]
+                return w
+
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -138,11 +154,7 @@ def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge"
                 a[bad], b[bad] = 0.0, 0.0
                 if method == "ridge":
                     full = a + al[:, None, None] * np.eye(p)
-                    try:
-                        w = np.linalg.solve(full, b[:, :, None])[..., 0]
-                    except np.linalg.LinAlgError:  # one is singular: least-norm solutions
-                        w = np.einsum("sij,sj->si", np.linalg.pinv(
-                            full, rcond=1e-10, hermitian=True), b)
+                    w = penalised(full, b)
                 elif method == "ols":
                     w = np.einsum("sij,sj->si", np.linalg.pinv(a, rcond=1e-10,
                                                                hermitian=True), b)

@@ -259,6 +259,35 @@ def test_seasonal_ar_candidate_is_least_squares(spark):
     assert c.aic == pytest.approx(len(t) * math.log(sse / len(t)) + 2 * 5, rel=1e-6)
 
 
+def test_a_singular_problem_leaves_its_neighbours_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [("good", x, x * 2 + float(rng.normal()), 3.0 * x + 1) for x in rng.normal(size=40).tolist()]
+    same = [("same", x, x, 2.0 * x) for x in rng.normal(size=40).tolist()]
+    z = F.array(F.lit(1.0), "a", "b", "y")
+
+    def coefs(data):
+        df = spark.createDataFrame(data, "k string, a double, b double, y double").coalesce(1)
+        return {r.k: r.coef for r in linear.fit(df, ["k"], z, 4, alpha=0.0).collect()}
+
+    both = coefs(rows + same)
+    assert both["good"] == coefs(rows)["good"] and np.isfinite(both["same"]).all()
+
+
+def test_lasso_settles_on_nearly_equal_features(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=400)
+    rows = [("x", float(b), float(b + 1e-3 * e), float(b + f))
+            for b, e, f in zip(base, rng.normal(size=400), rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    r = linear.fit(df, ["k"], F.array(F.lit(1.0), "a", "b", "y"), 4, method="lasso", alpha=0.01,
+                   scale=False).first()
+    x, y = np.array([r_[1:3] for r_ in rows]), np.array([r_[3] for r_ in rows])
+    left = y - r.intercepto - x @ np.array(r.coef)
+    slope = (x - x.mean(0)).T @ left / len(y)
+    for c, g in zip(r.coef, slope):  # the conditions of the least point
+        assert abs(g) <= 0.01 + 1e-6 and (c == 0 or g == pytest.approx(0.01 * np.sign(c), abs=1e-6))
+
+
 def arma(n, phi, theta, weekly_theta, seed, const=5.0, d=0):
     """A simulated series with (1 + theta B)(1 + weekly_theta B^7) and unit innovations."""
     rng = np.random.default_rng(seed)

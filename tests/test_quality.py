@@ -235,3 +235,17 @@ def test_limits_from_counts_equal_limits_from_rows(spark, metodo):
     cols = ["k", "limite_inferior", "limite_superior"]
     a, b = (x.select(*cols).toPandas().sort_values("k")[cols[1:]] for x in (direct, counted))
     np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_completeness_limits_are_settings(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, None), (3, 2.0), (4, 1.0)], "a int, b double")
+    cfg = quality.QualityConfig(completitud_error=60.0, completitud_aviso=70.0)
+    for how, want in ((quality.DEFAULTS, {"a": "warning", "b": "warning"}), (cfg, {"a": "error", "b": None})):
+        assert {r.columna: r.severidad for r in quality.completeness(df, how).collect()} == want
+    rows = spark.createDataFrame([("x", dt.date(2024, 1, 1 + k), 1.0 if k % 2 else None) for k in range(20)],
+                                 "codigo string, fecha date, cantidad double")
+    scores = {}
+    for aviso in (80.0, 95.0):
+        r = quality.quality_score(rows, cfg=quality.QualityConfig(completitud_aviso=aviso)).first()
+        scores[aviso] = r.score
+    assert scores[80.0] - scores[95.0] == pytest.approx((95 - 250 / 3) / 2)
