@@ -97,7 +97,8 @@ def ewma(daily: DataFrame, spans=EXTENDED_WINDOWS) -> DataFrame:
 
     Weights fall by ``r`` per row, so the sums run in blocks of ``_BLOCK`` rows: inside a
     block weights are taken relative to its first row (no overflow), and the closing sums of
-    earlier blocks are carried forward until their weight is below double precision.
+    earlier blocks are carried forward until their weight is below double precision: a bounded
+    number of them per block, however long the series.
     """
     pos = F.row_number().over(ordered()) - 1
     df = daily.withColumns({"_n": n_rows(), "_pos": pos})
@@ -110,18 +111,18 @@ def ewma(daily: DataFrame, spans=EXTENDED_WINDOWS) -> DataFrame:
         scaled = F.pow(F.lit(r), -F.col("_off"))
         local = F.sum(F.col("cantidad") * scaled).over(in_block)
         df = df.withColumn(f"_num{s}", F.pow(F.lit(r), F.col("_off")) * local)
-    # Closing sums of all blocks so far: one value per block, read by position.
+    # A block passes its start on as an affine map: r ** _BLOCK times what came in, plus its closing
+    # sum. The frames follow block numbers, so they are worked out once per block, and hold as many
+    # closing sums as still count.
     df = df.withColumns({f"_ends{s}": F.collect_list(
         F.when(F.col("_off") == _BLOCK - 1, F.col(f"_num{s}"))).over(
-            ordered().rowsBetween(W.unboundedPreceding, 0)) for s in spans})
+            W.partitionBy("series_id").orderBy("_blk").rangeBetween(-_blocks_back(1 - 2 / (s + 1)), -1))
+        for s in spans})
 
     def carried(s: int, r: float) -> Column:
-        total = F.lit(0.0)
-        for j in range(1, _blocks_back(r) + 1):
-            back = F.col("_off") + 1 + (j - 1) * _BLOCK
-            closing = F.get(F.col(f"_ends{s}"), (F.col("_blk") - j).cast("int"))
-            total = total + F.coalesce(F.pow(F.lit(r), back) * closing, F.lit(0.0))
-        return total
+        ends = F.col(f"_ends{s}")
+        start = F.aggregate(ends, F.lit(0.0), lambda total, closing: total * r ** _BLOCK + closing)
+        return F.pow(F.lit(r), F.col("_off") + 1) * start
 
     out = {}
     for s in spans:

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from demandara.operators import windows as win
 
@@ -54,6 +55,15 @@ def test_ewma_equals_pandas_on_long_series(spark):
                 assert got.isna().all(), name
 
 
+def test_ewma_of_a_million_rows(spark):
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int"))
+    df = spark.range(1_000_000).select(F.lit("a").alias("series_id"), day.alias("fecha"),
+                                       (F.abs(F.hash("id")) % 100).cast("double").alias("cantidad"))
+    got = win.ewma(df).orderBy("fecha").drop("fecha").toPandas()
+    for s in (7, 14, 30):
+        same(got[f"cantidad_ewma_{s}"], got.cantidad.ewm(span=s).mean())
+
+
 def test_gap_of_seven_days_is_none(spark):
     d = dt.date(2024, 1, 1)
     rows = [("A", d, 1.0), ("A", d + dt.timedelta(7), 1.0), ("A", d + dt.timedelta(15), 1.0)]
