@@ -11,7 +11,8 @@ random are expected to be random. What is left is reported as kind ``random`` un
 a base match.
 
 Contract: one row per input row; null text is empty. Repeated rows give one row each, null ids
-stay. Spans count code points, end exclusive. Other columns are ignored.
+stay. Spans count code points, end exclusive. Other columns are ignored, whatever their names; an
+empty table gives none. The work on a text grows with its length and its matches, not their square.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ ALPHABETS = (
 BANDS = (20, 32, 48, 80)
 #: p-values are kept as hundredths of their negative decimal logarithm, up to 1e-12.
 TOP_BIN = 1200
+#: Matches per block when positions are added up, so that the work grows with the matches.
+BLOCK = 256
 
 
 def spans_of(text: Column, kind: str, order: int, pattern: str, least: int) -> Column:
@@ -60,24 +63,45 @@ def spans_of(text: Column, kind: str, order: int, pattern: str, least: int) -> C
     """
     plain = F.translate(text, "\x01\x02\x03", "\x04\x04\x04")
     marked = F.split(F.regexp_replace(plain, pattern, "\x01$1\x02$2\x03"), "\x01")
-    shape = ("struct<pos:int,spans:array<struct<start:int,rank:int,end:int,kind:string,"
-             "value:string>>>")
+    spans = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+    add = lambda values: F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
 
-    def step(state: Column, part: Column) -> Column:
+    def before(lengths: Column) -> Column:
+        """Sum of the lengths before each one and, last, of all."""
+        return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, v: F.concat(
+            acc, F.array(F.element_at(acc, -1) + v)))
+
+    def span(part: Column, pos: Column) -> Column:
         opening = F.length(F.substring_index(part, "\x02", 1))
         value = F.substring_index(F.substring_index(part, "\x03", 1), "\x02", -1)
-        end = state["pos"] + opening + F.length(value)
-        span = F.struct(state["pos"].alias("start"), F.lit(order).alias("rank"), end.alias("end"),
-                        F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct(
-            (state["pos"] + F.length(part) - 2).alias("pos"),
-            F.when(F.length(value) >= least, F.concat(state["spans"], F.array(span)))
-            .otherwise(state["spans"]).alias("spans")).cast(shape)
-
-    start = F.struct(F.length(marked[0]).alias("pos"), F.array().alias("spans")).cast(shape)
-    found = F.aggregate(F.slice(marked, 2, F.size(marked)), start, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(
-        "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
+        return F.struct(pos.alias("start"), F.lit(order).alias("rank"),
+                        (pos + opening + F.length(value)).alias("end"), F.lit(kind).alias("kind"),
+                        value.alias("value"))
+
+    def block(parts: Column, start: Column) -> Column:
+        """Spans of the matches of one block, whose first one starts at ``start``."""
+        at = before(F.transform(parts, lambda p: F.length(p) - 2))
+        return F.transform(F.array(F.struct(at.alias("at"))), lambda v: F.zip_with(
+            parts, F.slice(v["at"], 1, F.size(parts)), lambda p, x: span(p, start + x)))[0]
+
+    def located(found: Column) -> Column:
+        """``found`` are the text before the first match and one part per match.
+
+        Positions are added up within blocks of ``BLOCK`` matches and over the blocks.
+        """
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 2) / BLOCK).cast("int")),
+                             lambda k: F.slice(found, k * BLOCK + 2, F.lit(BLOCK)))
+        return F.transform(F.array(blocks), lambda b: F.transform(
+            F.array(before(F.transform(b, lambda parts: add(F.transform(
+                parts, lambda p: F.length(p) - 2))))),
+            lambda at: F.flatten(F.zip_with(
+                b, F.slice(at, 1, F.size(b)),
+                lambda parts, x: block(parts, F.length(found[0]) + x)))))[0][0]
+
+    # Arrays of one element hold what inner functions use more than once, so it is computed once.
+    spotted = F.filter(F.transform(F.array(marked), located)[0],
+                       lambda v: F.length(v["value"]) >= least)
+    return F.when(text.rlike(pattern), spotted.cast(spans)).otherwise(F.array().cast(spans))
 
 
 def _tail(z: Column) -> Column:
@@ -121,10 +145,13 @@ def battery(value: Column) -> Column:
             run_p = F.when(spread > 0, 2 * _tail(F.abs(
                 (runs - 1 - both / n) / F.sqrt(F.greatest(spread, F.lit(1e-9)))))
             ).otherwise(F.pow(F.lit(2.0), 1 - n))
-            mean = add(x) / n
-            power = add(F.transform(x, lambda y: (y - mean) * (y - mean)))
-            lagged = add(F.zip_with(earlier, later, lambda y, z: (y - mean) * (z - mean)))
-            serial_p = F.when(power > 0, 2 * _tail(F.abs(
+            # Sums over the whole run only: a mean inside a lambda is worked out once per symbol.
+            total = add(x)
+            spread_n = n * add(F.transform(x, lambda y: y * y)) - total * total
+            mean, power = total / n, spread_n / n
+            lagged = (add(F.zip_with(earlier, later, lambda y, z: y * z))
+                      - mean * (2 * total - x[0] - F.element_at(x, -1)) + (n - 1) * mean * mean)
+            serial_p = F.when(spread_n > 0, 2 * _tail(F.abs(
                 (lagged / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))).otherwise(0.0)
             odds = sum(F.tan((0.5 - F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-6)))
                              * F.lit(3.141592653589793))
@@ -150,9 +177,9 @@ def scan(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id",
         "_id", F.concat(*[spans_of(text, kind, k, pattern, least)
                           for k, (kind, pattern, least) in enumerate(KINDS)]).alias("base"),
         spans_of(text, RANDOM, len(KINDS), RUNS, RUN_CHARS).alias("runs"))
-    judged = F.transform("runs", lambda v: F.struct(v.alias("span"), battery(v["value"]).alias("t")))
+    tested = F.transform("runs", lambda v: F.struct(v.alias("span"), battery(v["value"]).alias("t")))
     found = materialise(rows.select("_id", F.array_sort("base").alias("base"),
-                                    judged.alias("runs")))
+                                    tested.alias("runs")))
     stratum = lambda v: F.concat_ws("/", v["t"]["alphabet"], sum(
         (F.length(v["span"]["value"]) >= b).cast("int") for b in BANDS[1:]).cast("string"))
     level = lambda v: F.least(F.floor(-100 * F.log10(F.greatest(
@@ -172,10 +199,26 @@ def scan(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id",
     cuts = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]) if cut else None
     limit = lambda v: (F.coalesce(F.element_at(cuts, stratum(v)), F.lit(TOP_BIN + 1))
                        if cut else F.lit(TOP_BIN + 1))
-    alone = lambda v: ~F.exists("base", lambda b: (
-        (b["start"] < v["span"]["end"]) & (v["span"]["start"] < b["end"])))
-    random = F.transform(F.filter("runs", lambda v: (level(v) < limit(v)) & alone(v)),
-                         lambda v: v["span"])
+    def base_before(run_at: str, base_at: str, run_first: bool) -> Column:
+        """Per run: how many base spans have ``base_at`` before the run's ``run_at``.
+
+        One sort of both; of the runs, whose order stays, place minus rank is the count.
+        """
+        both = F.array_sort(F.concat(
+            F.transform("runs", lambda v: F.struct(
+                v["span"][run_at].alias("at"), F.lit(0 if run_first else 1).alias("of"))),
+            F.transform("base", lambda b: F.struct(
+                b[base_at].alias("at"), F.lit(1 if run_first else 0).alias("of")))))
+        placed = F.transform(both, lambda e, k: F.struct(e["of"].alias("of"), k.alias("k")))
+        runs = F.filter(placed, lambda e: e["of"] == (0 if run_first else 1))
+        return F.transform(runs, lambda e, j: e["k"] - j)
+
+    # Base spans that start before a run's end but don't end by its start overlap it.
+    alone = F.zip_with(base_before("end", "start", True), base_before("start", "end", False),
+                       lambda begun, ended: begun == ended)
+    judged = F.zip_with("runs", alone, lambda v, a: F.struct(v.alias("v"), a.alias("alone")))
+    random = F.transform(F.filter(judged, lambda r: r["alone"] & (level(r["v"]) < limit(r["v"]))),
+                         lambda r: r["v"]["span"])
     return found.select(F.col("_id").alias(id_col), "base", random.alias(RANDOM))
 
 
