@@ -20,13 +20,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import materialise
 from .arrow import map_arrow, slices, text_rows
 from .decontamination import BLOCK_WORDS, _blocks, words_of
 from .sketches import hashes_of
@@ -262,8 +265,8 @@ def common_words(masks: dict[str, int], m: int, words: list[str]) -> int:
 class Index:
     """Winnowed fingerprints of one block of templates."""
 
-    def __init__(self, names: list[str], texts: list[str], share: float):
-        self.names, self.share = names, share
+    def __init__(self, names: list[str], texts: list[str], share: float, first: int = 0):
+        self.names, self.share, self.first = names, share, first
         offsets, codes, distinct = words_of(pa.array(texts, pa.string()))
         self.words = [[distinct[c] for c in codes[a:b]] for a, b in zip(offsets, offsets[1:])]
         self.counts = [Counter(w) for w in self.words]
@@ -346,7 +349,7 @@ class Index:
         return len(part) >= self.least[t] and common_words(self.masks[t], m, part) >= self.least[t]
 
     def spans(self, text: str, starts: set[tuple[int, int]]) -> list[tuple]:
-        """(name, matched, share, start, end) of one text, overlaps resolved."""
+        """(rank of the template, name, matched, share, start, end) of one text, overlaps included."""
         met = list(WORD.finditer(text))
         words = [m.group().lower() for m in met]
         found, done, there, possible = [], {}, Counter(words), {}
@@ -366,13 +369,18 @@ class Index:
             matched, a, b = align(template, words, start)
             if matched >= self.least[t] and self.agrees(t, words[a:b]):
                 found.append((matched, matched / len(template), a, b, t))
-        found.sort(key=lambda f: (-f[0], -f[1], f[2], f[4]))
-        kept: list[tuple] = []
-        for f in found:
-            if all(f[3] <= k[2] or k[3] <= f[2] for k in kept):
-                kept.append(f)
-        return [(self.names[t], matched, share, met[a].start(), met[b - 1].end())
-                for matched, share, a, b, t in sorted(kept, key=lambda f: f[2])]
+        return [(self.first + t, self.names[t], matched, share, met[a].start(), met[b - 1].end())
+                for matched, share, a, b, t in found]
+
+
+def resolved(found: list[tuple]) -> list[tuple]:
+    """Of the spans (rank of the template, name, matched, share, start, end) of one text, those that no
+    better one overlaps, in text order. More matched words are better, then the larger share."""
+    kept: list[tuple] = []
+    for f in sorted(found, key=lambda f: (-f[2], -f[3], f[4], f[0])):
+        if all(f[5] <= k[4] or k[5] <= f[4] for k in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: f[4])
 
 
 def license_spans(docs: DataFrame, notices: DataFrame | None = None, share: float = SHARE,
@@ -380,29 +388,64 @@ def license_spans(docs: DataFrame, notices: DataFrame | None = None, share: floa
                   template_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc id, license, n_matched, coverage and the span (code points, end exclusive).
 
-    Templates are worked on in blocks of about ``block_words`` words, one pass each; overlaps are
-    resolved within a block.
+    Templates are worked on in blocks of about ``block_words`` words, one pass each. Overlaps are
+    resolved over all blocks: with more than one the rows are written once with a number, and the
+    spans of a row (no more than its text gives) meet again by it. Repeated rows and null ids stay
+    rows of their own; no document or no template gives no rows. Other columns are ignored.
     """
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
     shape = ("_id {}, license string, n_matched long, coverage double, span_start long, "
              "span_end long").format(kind)
-    answer = docs.sparkSession.createDataFrame([], shape)
+    types = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     source = templates(docs.sparkSession) if notices is None else notices
-    for names, texts in _blocks(source, name_col, template_col, block_words):
-        def work(batches: Iterator[pa.RecordBatch], names=names, texts=texts):
-            index = Index([str(n) for n in names], texts, share)
+    blocks = list(_blocks(source, name_col, template_col, block_words))
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], shape).withColumnRenamed("_id", id_col)
+
+    def search(texts_of: tuple[list, list], first: int, alone: bool):
+        names, texts = texts_of
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index([str(n) for n in names], texts, share, first)
             for part in slices(batches):
                 found = []
                 hits = index.hits(*words_of(part["_text"]))
                 for t in sorted(hits):
-                    found += [(t, *s) for s in index.spans(part["_text"][t].as_py(), hits[t])]
-                columns = list(zip(*found)) or [()] * 6
+                    spans = index.spans(part["_text"][t].as_py(), hits[t])
+                    found += [(t, *s) for s in (resolved(spans) if alone else spans)]
+                columns = list(zip(*found)) or [()] * 7
+                at = pa.array(columns[0], pa.int64())
+                arrays = [pa.array(c, k) for c, k in zip(columns[2:], types)]
+                if not alone:
+                    arrays = [part["_row"].take(at), pa.array(columns[1], pa.int64()), *arrays]
                 yield pa.RecordBatch.from_arrays(
-                    [part["_id"].take(pa.array(columns[0], pa.int64())),
-                     *[pa.array(c, k) for c, k in zip(columns[1:], (
-                         pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))]],
-                    ["_id", "license", "n_matched", "coverage", "span_start", "span_end"])
-
-        answer = answer.union(map_arrow(rows, work, shape))
-    return answer.withColumnRenamed("_id", id_col)
+                    [part["_id"].take(at), *arrays],
+                    ["_id", *([] if alone else ["_row", "_rank"]), "license", "n_matched", "coverage",
+                     "span_start", "span_end"])
+        return work
+
+    if len(blocks) == 1:
+        return map_arrow(rows, search(blocks[0], 0, True), shape).withColumnRenamed("_id", id_col)
+
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+    met, first = [], 0
+    for block in blocks:
+        met.append(map_arrow(rows, search(block, first, False), shape.replace(
+            ", license", ", _row long, _rank long, license")))
+        first += len(block[0])
+    spans = F.struct("_rank", "license", "n_matched", "coverage", "span_start", "span_end")
+    grouped = reduce(DataFrame.union, met).groupBy("_row").agg(
+        F.first("_id").alias("_id"), F.collect_list(spans).alias("_spans"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            found = [(t, *s[1:]) for t, of_row in enumerate(part["_spans"].to_pylist())
+                     for s in resolved([tuple(x.values()) for x in of_row])]
+            columns = list(zip(*found)) or [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [part["_id"].take(pa.array(columns[0], pa.int64())),
+                 *[pa.array(c, k) for c, k in zip(columns[1:], types)]],
+                ["_id", "license", "n_matched", "coverage", "span_start", "span_end"])
+
+    return map_arrow(grouped.drop("_row"), choose, shape).withColumnRenamed("_id", id_col)
