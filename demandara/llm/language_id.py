@@ -34,7 +34,7 @@ TEACHERS = 10_000
 UNKNOWN = "und"
 SPACE = 32
 #: Share of a language's own documents that its limit is drawn from, steps of the distance, and how many
-#: documents a language needs for a limit of its own.
+#: documents the limit of all languages together counts in the limit of one.
 OWN = 0.999
 STEPS = 1000
 OWN_LIMIT = 1000
@@ -174,8 +174,11 @@ def limits(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE
     """Largest distance by language that still counts as that language.
 
     Of all labelled documents that aren't held out and whose nearest profile is their label, the
-    quantile ``OWN`` and half of its way from the median beyond it. A language with under ``OWN_LIMIT``
-    such documents takes the widest limit. Counts per step of the distance reach the driver.
+    quantile ``OWN`` and half of its way from the median beyond it. How far that lies from the median is
+    averaged with the same of all languages together (each about its own median), which counts as
+    ``OWN_LIMIT`` documents; the language's own quantile always stays within. A language without such a
+    document has the limit 1, which no text with a shared n-gram reaches. Counts per step of the
+    distance reach the driver.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, size)
@@ -194,15 +197,22 @@ def limits(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE
     for r in map_arrow(taught, work, "lang string, step int").groupBy("lang", "step").agg(
             F.count("*").alias("n")).collect():
         steps.setdefault(r["lang"], [0] * STEPS)[r["step"]] = r["n"]
-    found, few = {}, []
+    def place(counts: np.ndarray, share: float) -> int:
+        total = np.cumsum(counts)
+        return int(np.searchsorted(total, share * total[-1])) + 1
+
+    # Counts by distance from the language's median, -STEPS to STEPS.
+    centred, own = np.zeros(2 * STEPS + 2, dtype=np.int64), {}
     for lang, n in steps.items():
-        total = np.cumsum(n)
-        middle, high = ((int(np.searchsorted(total, q * total[-1])) + 1) / STEPS for q in (0.5, OWN))
-        found[lang] = high + (high - middle) / 2
-        if total[-1] < OWN_LIMIT:
-            few.append(lang)
-    widest = max(found.values(), default=1.0)
-    return found | {lang: widest for lang in [*few, *(set(profiles) - set(found))]}
+        middle, high = place(n, 0.5), place(n, OWN)
+        own[lang] = sum(n), middle, high
+        centred[STEPS - middle + 1:2 * STEPS - middle + 1] += np.array(n)
+    if not own:
+        return {lang: 1.0 for lang in profiles}
+    pooled = max(0, place(centred, OWN) - 1 - STEPS) * 1.5
+    found = {lang: max(high, middle + ((high - middle) * 1.5 * n + pooled * OWN_LIMIT)
+                       / (n + OWN_LIMIT)) / STEPS for lang, (n, middle, high) in own.items()}
+    return {lang: 1.0 for lang in profiles} | found
 
 
 def identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.0,

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -474,8 +475,48 @@ def test_secrets_of_odd_rows(spark, odd):
     assert secrets.digest(secrets.scan(empty(spark))).count() == 0
 
 
+def test_secrets_of_texts_with_many_matches(spark):
+    """Positions over several blocks of matches; the work grows with the matches."""
+    r = random.Random(1)
+    ids = lambda n: " ".join("AKIA" + "".join(r.choices(
+        string.ascii_uppercase, k=r.choice([16, 17, 30, 3]))) for _ in range(n))
+    sizes = [1, 2, 255, 256, 257, 512, 513, 1000]
+    texts = {n: f"{'é' * n}token=abcdef {ids(n)} {'0f' * 12}" for n in sizes}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for row in secrets.digest(secrets.scan(docs)).collect():
+        base = plain_spans(texts[row["doc_id"]])
+        assert ",".join(s for s in row["spans"].split(",") if not s.startswith("random:")) == base
+        assert row["n_access"] == base.count("access:")
+    took = []
+    for n in (8000, 16000):
+        one = spark.createDataFrame([(n, ids(n))], "doc_id long, text string")
+        start = time.perf_counter()
+        assert secrets.digest(secrets.scan(one)).first()["n_access"] > n / 2
+        took.append(time.perf_counter() - start)
+    assert took[1] < 2.5 * took[0]
+
+
 # 8 licenses
 
+def test_licenses_do_not_depend_on_the_blocks(spark, sf, odd):
+    own = spark.createDataFrame([("A", "one two three four five six"),
+                                 ("B", "four five six seven eight nine ten"),
+                                 ("C", "ten eleven twelve")], "name string, text string")
+    docs = spark.createDataFrame([
+        (1, "x one two three four five six seven eight nine ten eleven twelve y"), (None, None),
+        (2, "one two three four five six"), (2, "one two three four five six"),
+        (None, "four five six seven eight nine ten")], "doc_id long, text string")
+    answers = [sorted(map(str, licenses.license_spans(docs, own, block_words=w).collect()))
+               for w in (1, 8, 1000)]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 4
+    assert sum("'B'" in a for a in answers[0]) == 2
+    for table_ in (odd, empty(spark), table(spark, sf, "documents")):
+        whole, cut = (sorted(map(str, licenses.license_spans(table_, block_words=w).collect()))
+                      for w in (licenses.BLOCK_WORDS, 20_000))
+        assert whole == cut
+    assert licenses.license_spans(odd, own.limit(0)).count() == 0
+
+
 def test_licenses(spark, sf, texts):
     got = collections.Counter(r["license"] for r in
                               QUERIES["op8_license_scans"].run(spark, sf).collect())
@@ -607,6 +648,23 @@ def test_language_stage_rejects_by_distance(spark, sf):
     assert kept == clean
 
 
+def test_limits_of_a_small_language_beside_large_ones(spark, sf):
+    """A language of ten documents has a limit from its own documents and all others', no switch."""
+    docs = table(spark, sf, "documents").filter("lang is not null")
+    langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy("lang").collect()]
+    few = docs.filter((F.col("lang") != langs[0])
+                      | F.col("doc_id").isin([r["doc_id"] for r in docs.filter(
+                          F.col("lang") == langs[0]).orderBy("doc_id").limit(10).collect()]))
+    profiles = language_id.learn(few)
+    found = language_id.limits(few, profiles)
+    assert set(found) == set(langs) and len(set(found.values())) > 1
+    own = [r["doc_id"] for r in few.filter((F.col("lang") == langs[0])
+                                           & ~language_id.held_out("doc_id")).collect()]
+    kept = {r["doc_id"] for r in language_id.identified(few, profiles, furthest=found).collect()}
+    assert own and set(own) <= kept
+    assert language_id.limits(few.limit(0), profiles) == {lang: 1.0 for lang in profiles}
+
+
 def test_language_stage_keeps_all_where_nothing_was_learned(spark, sf):
     docs = table(spark, sf, "documents").withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language(spark, docs, sf).count() == docs.count()
