@@ -50,14 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
     Used where several later steps read the same intermediate result (raw rows are then
     scanned and windows computed once, and each step still reads only its columns), and
     where two branches must see exactly the same partitions. A lost executor re-reads files
-    instead of recomputing the history.
+    instead of recomputing the history. With ``by`` each value of these columns has a folder of its
+    own, and a filter on them reads only that.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

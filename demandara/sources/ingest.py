@@ -1,17 +1,19 @@
 """Ingestion of raw consumption files: typed rows, quarantine and findings.
 
 Input is text in any columns order (CSV, JSON or Parquet folders). Each row is judged by
-column expressions; nothing is collected, findings come from one aggregate.
+column expressions. The raw text is read and parsed once: the judged rows are written with kept and
+dropped ones apart, and the fault counts are observed by the job that writes them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import zero_pad
+from ..session import materialise
 from .schemas import lower_names, missing_columns
 
 # Columns an upload must have, and the shapes of a date with their layouts.
@@ -32,7 +34,7 @@ FEW_ROWS = 10
 
 @dataclass
 class Ingested:
-    """Outcome of an ingestion; every field is a lazy DataFrame."""
+    """Outcome of an ingestion: DataFrames over the rows written once, none reads the raw text."""
     clean: DataFrame
     quarantine: DataFrame
     findings: DataFrame
@@ -101,19 +103,30 @@ def _kept() -> Column:
 CLEAN = ["fecha", "codigo", "centro", "almacen", "cantidad", "descripcion"]
 
 
-def findings(judged: DataFrame) -> DataFrame:
-    """One row: fault counts, dropped rows, whether the load is acceptable."""
-    out = judged.agg(
-        F.count(F.lit(1)).alias("filas"),
-        F.count_if(F.col("fecha").isNull()).alias("fechas_invalidas"),
-        F.count_if(F.col("codigo").isNull()).alias("sin_codigo"),
-        F.count_if(F.col("cantidad").isNull()).alias("cantidades_no_numericas"),
-        F.count_if(F.col("cantidad") < 0).alias("cantidades_negativas"),
-        F.count_if(~_kept()).alias("filas_eliminadas"),
-        F.count_if(_kept()).alias("filas_validas"))
+COUNTS = {
+    "filas": lambda: F.count(F.lit(1)),
+    "fechas_invalidas": lambda: F.count_if(F.col("fecha").isNull()),
+    "sin_codigo": lambda: F.count_if(F.col("codigo").isNull()),
+    "cantidades_no_numericas": lambda: F.count_if(F.col("cantidad").isNull()),
+    "cantidades_negativas": lambda: F.count_if(F.col("cantidad") < 0),
+    "filas_eliminadas": lambda: F.count_if(~_kept()),
+    "filas_validas": lambda: F.count_if(_kept()),
+}
+
+
+def _counts() -> list[Column]:
+    return [count().alias(name) for name, count in COUNTS.items()]
+
+
+def _verdict(counts: DataFrame) -> DataFrame:
     ok = ((F.col("fechas_invalidas") == 0) & (F.col("cantidades_no_numericas") == 0)
           & (F.col("cantidades_negativas") == 0))
-    return out.withColumns({"exito": ok, "pocos_datos": F.col("filas_validas") < FEW_ROWS})
+    return counts.withColumns({"exito": ok, "pocos_datos": F.col("filas_validas") < FEW_ROWS})
+
+
+def findings(judged: DataFrame) -> DataFrame:
+    """One row: fault counts, dropped rows, whether the load is acceptable."""
+    return _verdict(judged.agg(*_counts()))
 
 
 def summary(clean: DataFrame) -> DataFrame:
@@ -129,10 +142,17 @@ def summary(clean: DataFrame) -> DataFrame:
 
 
 def ingest_consumption(raw: DataFrame) -> Ingested:
-    judged = judge(raw)
-    clean = judged.where(_kept()).select(*CLEAN)
-    bad = judged.where(~_kept())
-    return Ingested(clean, bad, findings(judged), summary(clean))
+    """One job over the raw text writes the judged rows and counts their faults.
+
+    A task that runs again counts once, as Spark takes observed values of finished tasks only.
+    """
+    seen = Observation("ingesta")
+    judged = judge(raw).observe(seen, *_counts())
+    rows = materialise(judged.withColumn("valida", _kept().cast("int")), by=["valida"])
+    clean = rows.where("valida = 1").select(*CLEAN)
+    counts = raw.sparkSession.createDataFrame(
+        [tuple(seen.get[name] for name in COUNTS)], ", ".join(f"{name} long NOT NULL" for name in COUNTS))
+    return Ingested(clean, rows.where("valida = 0").drop("valida"), _verdict(counts), summary(clean))
 
 
 def ingest_materials(raw: DataFrame) -> DataFrame | None:

@@ -49,6 +49,24 @@ def test_ingest_rules(spark):
     assert s.total_registros + got.quarantine.count() == 7
 
 
+def test_ingest_reads_the_raw_text_once(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    spark.createDataFrame([("1/2/2024", "A", "1", "2", "3"), ("x", "A", "1", "2", "-3"),
+                           ("1/2/2024", "", "1", "2", "y")],
+                          "fecha string, codigosap string, centro string, almacen string, "
+                          "cantidad string").write.option("header", True).csv(path)
+    got = ingest.ingest_consumption(ingest.read_raw(spark, path))
+    for df in (got.clean, got.quarantine, got.findings, got.summary):
+        assert path not in " ".join(df.inputFiles())
+        assert "csv" not in df._jdf.queryExecution().toString().lower()
+    assert (got.clean.count(), got.quarantine.count()) == (1, 2)
+    plain = ingest.findings(ingest.judge(ingest.read_raw(spark, path)))
+    assert got.findings.collect() == plain.collect() and got.findings.schema == plain.schema
+    none = ingest.ingest_consumption(ingest.read_raw(spark, path).limit(0))
+    assert none.findings.first()["filas"] == 0 and none.clean.count() == 0
+    assert none.summary.first()["dias_datos"] == 0
+
+
 def test_ingest_needs_its_columns(spark):
     df = spark.createDataFrame([("a",)], "Fecha string")
     with pytest.raises(ValueError, match="codigosap"):
