@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import demand, quality
+from ..session import ensure_checkpoint_dir
+from ..streaming.daily import merge_batch, read_kept
 from . import fixtures as fx
 from .joins import CONSUMO_90, PEDIDOS_AGG, part_rows  # noqa: F401
 from .registry import query, re, rounded
@@ -26,6 +30,22 @@ def a01_filled(spark, sf):
     return demand.fill_missing_days(fx.serie_brand(spark, sf))
 
 
+@query("a01_daily_demand_kept", """
+  SELECT event_type AS series_id, CAST(ts AS DATE) AS fecha,
+         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS cantidad
+  FROM events GROUP BY ALL""")
+def a01_kept(spark, sf):
+    """All events in two batches that share their days; the second one comes twice."""
+    rows = fx.table(spark, sf, "events").select(
+        F.col("event_type").alias("codigo"), "ts",
+        F.round(F.col("value") * 100).cast("long").alias("cantidad"))
+    path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    first = F.pmod(F.hash("ts", "cantidad"), F.lit(2)) == 0
+    for lote, part in ((0, rows.where(first)), (1, rows.where(~first)), (1, rows.where(~first))):
+        merge_batch(part, lote, path)
+    return read_kept(spark, path)
+
+
 @query("a02_monthly_average", f"SELECT codigo, {re('consumo_mensual', 'consumo_mensual')} "
        "FROM mensual", ("consumo",), {"mensual": CONSUMO_90})
 def a02(spark, sf):

@@ -78,8 +78,9 @@ def merge_batch(rows: DataFrame, lote: int, path: str, series: str = "codigo", t
     merged = old.join(delta, ["series_id", "fecha"], "full").select(
         "series_id", changed(base + F.col("suma"), "cantidad").alias("cantidad"),
         changed(base, "previa").alias("previa"), changed(now, "lote").alias("lote"), "fecha")
-    # Written apart first: the folders replaced below are among those just read.
-    (materialise(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # Written apart first: the folders replaced below are among those just read. Rebalancing gives a
+    # day few files and cuts a large day into several.
+    (materialise(merged).hint("rebalance", "fecha").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("fecha").parquet(path))
 
 
