@@ -7,8 +7,9 @@ G and curvature sum H scores T(G)^2 / (H + l2), T shrinking G towards 0 by l1; a
 the score of its node, and a leaf's value is -rate T(G) / (H + l2). For squared error the
 gradient is prediction minus target and the curvature 1.
 
-Rows stay where they are; their predictions are written to the shared folder every ``REFRESH``
-trees and carried on in between by walking the trees that are newer.
+Rows stay where they are, packed into blocks: one table row holds the keys, targets, predictions and bins of
+some ``BLOCK`` rows as bytes, so that a level costs array work alone. Predictions are written to the shared
+folder every ``REFRESH`` trees and carried on in between by walking the trees that are newer.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from ..session import materialise
 from .linear import add_up
 
 REFRESH = 10
+#: Rows of a block at most, so that its arrays stay in the processor's caches.
+BLOCK = 10_000
 #: Tasks whose sums the driver adds up itself: at most as many rows per node.
 FEW_TASKS = 32
 #: Curvature that both sides of a split need, as many rows for squared error.
@@ -42,13 +45,17 @@ class Tree:
 
     def walk(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
         """Node of every row after ``levels`` steps (all by default); rows stop at leaves."""
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        n, width = bins.shape
+        flat, first = np.ascontiguousarray(bins).ravel(), np.arange(0, n * width, max(width, 1))
+        # A leaf goes to itself: no bin is above its cut.
+        leaf = self.feature < 0
+        at, cut = np.maximum(self.feature, 0), np.where(leaf, 255, self.cut).astype(np.int16)
+        left = np.where(leaf, np.arange(len(leaf)), 2 * np.arange(len(leaf)) + 1)
+        node = np.zeros(n, np.int64)
         depth = (len(self.feature) + 1).bit_length() - 2
         for _ in range(depth if levels is None else levels):
-            f = self.feature[node]
-            down = 2 * node + 1 + (bins[rows, np.maximum(f, 0)] > self.cut[node])
-            node = np.where(f < 0, node, down)
+            above = flat.take(first + at.take(node)) > cut.take(node)
+            node = left.take(node) + above
         return node
 
 
@@ -160,8 +167,23 @@ def quantile_cuts(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     return [np.array(sorted({v for v in found[f"q{j}"] or [] if v < found[f"m{j}"]}), float) for j in range(width)]
 
 
-def _codes(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+SHAPE = "k binary, y binary, f binary, b binary"
+
+
+def _block(key: np.ndarray, y: np.ndarray, f: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """One table row of many rows' keys, targets, predictions and bins."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (key, y, f, codes)],
+        ["k", "y", "f", "b"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys, targets, predictions and bins (row, feature) of every block."""
+    for batch in batches:
+        for row in zip(*(batch[c] for c in ("k", "y", "f", "b"))):
+            key, y, f, codes = (np.frombuffer(v.as_buffer(), t) for v, t in
+                                zip(row, (np.int64, np.float64, np.float64, np.uint8)))
+            yield key, y, f, codes.reshape(len(key), width)
 
 
 def fit(rows: DataFrame, *, features: str = "features", target: str = "_objetivo", key: str = "_k",
@@ -180,14 +202,14 @@ def fit(rows: DataFrame, *, features: str = "features", target: str = "_objetivo
     model.thresholds = quantile_cuts(raw, width, bins)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = model.bins(b["x"].flatten().to_numpy().reshape(b.num_rows, width))
-            yield pa.RecordBatch.from_arrays(
-                [b["k"], b["y"], pa.array(np.full(b.num_rows, model.base)),
-                 pa.array([r.tobytes() for r in codes], pa.binary())], ["k", "y", "f", "b"])
-
-    shape = "k long, y double, f double, b binary"
-    held, new = materialise(raw.mapInArrow(encode, shape)), []
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                codes = model.bins(b["x"].flatten().to_numpy().reshape(b.num_rows, width))
+                yield _block(b["k"].to_numpy(), b["y"].to_numpy(),
+                             np.full(b.num_rows, model.base), codes)
+
+    held, new = materialise(raw.mapInArrow(encode, SHAPE)), []
     few = held.rdd.getNumPartitions() <= FEW_TASKS
     for number in range(trees):
         allowed = chosen_features(width, number, seed, feature_share)
@@ -200,16 +222,14 @@ def fit(rows: DataFrame, *, features: str = "features", target: str = "_objetivo
         model.trees.append(tree)
         new.append(tree)
         if len(new) == REFRESH and number + 1 < trees:
-            held, new = materialise(held.mapInArrow(_carry_on(new, width), shape)), []
+            held, new = materialise(held.mapInArrow(_carry_on(new, width), SHAPE)), []
     return model
 
 
 def _carry_on(new: list[Tree], width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = _codes(b["b"], width)
-            f = b["f"].to_numpy() + sum(t.value[t.walk(codes)] for t in new)
-            yield pa.RecordBatch.from_arrays([b["k"], b["y"], pa.array(f), b["b"]], ["k", "y", "f", "b"])
+        for key, y, f, codes in _blocks(batches, width):
+            yield _block(key, y, f + sum(t.value[t.walk(codes)] for t in new), codes)
     return work
 
 
@@ -221,17 +241,16 @@ def _grow(held: DataFrame, new: list[Tree], tree: Tree, level: int, number: int,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 2 ** level, len(used), bins))
-        for b in batches:
-            codes, key = _codes(b["b"], width), b["k"].to_numpy()
+        for key, y, f, codes in _blocks(batches, width):
             rows = np.flatnonzero(sampled(key, number, seed, row_share))
+            # Rows in leaves above this level have nothing left to split.
+            here = tree.walk(codes[rows], level)
+            rows, node = rows[here >= first], here[here >= first] - first
             codes = codes[rows]
-            f = b["f"].to_numpy()[rows] + sum((t.value[t.walk(codes)] for t in new), np.zeros(len(rows)))
-            node = tree.walk(codes, level)
-            here = node >= first
-            codes, node = codes[here], node[here] - first
-            g = (f - b["y"].to_numpy()[rows])[here]
+            g = f[rows] + sum((t.value[t.walk(codes)] for t in new), np.zeros(len(rows))) - y[rows]
+            node *= bins
             for j, c in enumerate(used):
-                at = node * bins + codes[:, c]
+                at = node + codes[:, c]
                 sums[0, :, j] += np.bincount(at, g, 2 ** level * bins).reshape(-1, bins)
                 sums[1, :, j] += np.bincount(at, minlength=2 ** level * bins).reshape(-1, bins)
         some = np.flatnonzero(sums[1, :, 0].sum(axis=1))

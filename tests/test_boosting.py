@@ -118,3 +118,27 @@ def test_pooled_second_order_model(spark):
     assert trees.predict(split, model, 5).count() == 10
     assert trees.importance(model, spark).count() == len(trees.TREE_FEATURES)
     assert trees.CONFIGS["xgboost"].kind == "second_order"
+
+
+def test_rows_travel_in_blocks(spark, monkeypatch):
+    """A level reads a few rows of bytes, not one row per training row, and loses none."""
+    x, y, k = data(25_000, 4)
+    held = []
+    kept = boosting.materialise
+    monkeypatch.setattr(boosting, "materialise", lambda df: held.append(kept(df)) or held[-1])
+    model = boosting.fit(table(spark, x, y, k), trees=1, depth=2)
+    assert held[1].count() <= 10
+    back = [np.frombuffer(r["k"], np.int64) for r in held[1].select("k").collect()]
+    assert sorted(np.concatenate(back)) == sorted(k)
+    codes = model.bins(x)
+    by_key = {int(a): b.tobytes() for a, b in zip(k, codes)}
+    for r in held[1].collect():
+        rows = np.frombuffer(r["b"], np.uint8).reshape(-1, 4)
+        assert all(by_key[int(a)] == b.tobytes() for a, b in zip(np.frombuffer(r["k"], np.int64), rows))
+
+
+def test_walk_stops_at_leaves():
+    tree = boosting.Tree(np.array([0, -1, 1, -1, -1, -1, -1]), np.array([3, 0, 7, 0, 0, 0, 0]), np.zeros(7))
+    bins = np.array([[3, 255], [4, 7], [255, 255]], np.uint8)
+    assert tree.walk(bins).tolist() == [1, 5, 6]
+    assert tree.walk(bins, 1).tolist() == [1, 2, 2]
