@@ -2,9 +2,9 @@
 
 Candidates are rows: differencing 0 or 1, one to three short lags, no, one or two weekly
 lags. All candidates of one differencing share one set of product sums per series; each
-is a small least-squares solve with some lags switched off, and the least AIC wins. Orders with
-moving-average terms (``moving_average``) work on one row of values per series and compete by the AIC
-of the same rows. Forecasts run the recursion for many series at once, one row per series.
+is a small least-squares solve with some lags switched off, and the least AIC wins. The sums come from
+one row of values per series, which the orders with moving-average terms (``moving_average``) read too; these
+compete by the AIC of the same rows. Forecasts run the recursion for many series at once, one row per series.
 """
 
 from __future__ import annotations
@@ -74,7 +74,13 @@ def fit_candidates(rows: DataFrame, lengths: DataFrame | None = None) -> DataFra
     sums = product_sums(rows, keys, z, WIDTH)
     if lengths is None:
         lengths = rows.groupBy("series_id").agg(F.max("n").alias("n"))
-    grid = (sums.join(lengths, "series_id").withColumn("_c", F.explode(_candidates()))
+    return _fit_sums(sums.join(lengths, "series_id"))
+
+
+def _fit_sums(sums: DataFrame) -> DataFrame:
+    """Every candidate from the product sums ``g`` of each series (n rows) and differencing."""
+    keys = ["series_id", "d"]
+    grid = (sums.withColumn("_c", F.explode(_candidates()))
             .where("_c.d = d").select(*keys, "n", "_c.ar", "_c.ar_semanal", "_c.activos", "g"))
     # Weekly lags need a long series; a series under 20 rows only has the default order.
     grid = grid.where(((F.col("ar_semanal") == 0) | (F.col("n") >= SHORT_SERIES))
@@ -171,6 +177,65 @@ MA_FIT = ("series_id string, d int, ar int, ar_semanal int, ma int, ma_semanal i
           "sigma2 double, aic double, bic double")
 
 
+def held_series(daily: DataFrame, train_only: bool = False, share: float = 0.2) -> DataFrame:
+    """One row per series of at least ``MIN_ROWS`` days: its ``n`` days and their values in order, with
+    ``train_only`` those of the train part."""
+    days = F.array_sort(F.collect_list(F.struct("fecha", F.col("cantidad").cast("double").alias("cantidad"))))
+    held = daily.groupBy("series_id").agg(F.transform(days, lambda x: x["cantidad"]).alias("valores")).withColumn(
+        "n", F.size("valores").cast("long")).where(F.col("n") >= MIN_ROWS)
+    if train_only:
+        held = held.withColumn("valores", F.slice("valores", 1, F.floor(F.col("n") * (1 - share)).cast("int")))
+    return held.select("series_id", "n", "valores")
+
+
+def value_sums(held: DataFrame) -> DataFrame:
+    """Product sums of the rows that ``prepared`` gives, added up inside each series' row of values:
+    (series_id, n, d, g)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        up = np.triu_indices(WIDTH)
+
+        def sums_of(flat, size, long, d):
+            # Position of every value in its series, from 0; absent lags count 0.
+            start = np.cumsum(size) - size
+            pos = np.arange(len(flat)) - np.repeat(start, size)
+            long = np.repeat(long, size)
+            w = flat
+            if d:
+                w = np.full(len(flat), np.nan)
+                w[1:] = np.diff(flat)
+            rows = np.flatnonzero(pos >= np.where(long, max(LAGS) + 1, SHORT_LAGS + 1))
+            z = np.ones((len(rows), WIDTH))
+            for i, k in enumerate(LAGS):
+                there = (pos[rows] >= k + d) & (long[rows] | (k <= SHORT_LAGS))
+                z[:, i + 1] = np.where(there, w[np.maximum(rows - k, 0)], 0.0)
+            z[:, -1] = w[rows]
+            of = np.repeat(np.arange(len(size)), size)[rows]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            return of[first], np.add.reduceat(z[:, up[0]] * z[:, up[1]], first, axis=0)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                b = batch.slice(at, 2000)
+                size = b["valores"].value_lengths().to_numpy().astype(np.int64)
+                flat = b["valores"].flatten().to_numpy(zero_copy_only=False)
+                long = b["n"].to_numpy() >= SHORT_SERIES
+                for d in (0, 1):
+                    who, g = sums_of(flat, size, long, d)
+                    if not len(who):
+                        continue
+                    off = np.arange(0, g.size + 1, g.shape[1], dtype="int32")
+                    rows = pa.array(who)
+                    yield pa.RecordBatch.from_arrays(
+                        [b["series_id"].take(rows), b["n"].take(rows), pa.array(np.full(len(who), d, "int32")),
+                         pa.ListArray.from_arrays(pa.array(off), pa.array(g.ravel()))],
+                        names=["series_id", "n", "d", "g"])
+
+    return held.mapInArrow(run, "series_id string, n bigint, d int, g array<double>")
+
+
 def moving_average_fit(daily: DataFrame, train_only: bool = False, share: float = 0.2) -> DataFrame:
     """The best order with moving-average terms per series of at least ``MIN_ROWS`` days.
 
@@ -206,20 +271,12 @@ def moving_average_fit(daily: DataFrame, train_only: bool = False, share: float
                 names=["series_id", "d", "ar", "ar_semanal", "ma", "ma_semanal", "n_train", "intercepto",
                        "coef", "ma_coef", "restos", "sigma2", "aic", "bic"])
 
-    ordered_values = F.transform(F.array_sort(F.collect_list(F.struct("fecha", F.coalesce(
-        F.col("cantidad"), F.lit(float("nan"))).alias("cantidad")))), lambda x: x["cantidad"])
-    held = daily.groupBy("series_id").agg(ordered_values.alias("valores")).withColumn(
-        "n", F.size("valores").cast("long")).where(F.col("n") >= MIN_ROWS)
-    if train_only:
-        held = held.withColumn("valores", F.slice("valores", 1, F.floor(F.col("n") * (1 - share)).cast("int")))
-    return held.select("series_id", "n", "valores").mapInArrow(run, MA_FIT)
+    return held_series(daily, train_only, share).mapInArrow(run, MA_FIT)
 
 
 def fit_all(daily: DataFrame, train_only: bool = False) -> DataFrame:
     """The order of least AIC per series; without moving-average terms on ties."""
-    rows = prepared(daily)
-    lengths = daily.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    plain = best_order(fit_candidates(rows.where("is_train") if train_only else rows, lengths))
+    plain = best_order(_fit_sums(value_sums(held_series(daily, train_only))))
     mixed = moving_average_fit(daily, train_only)
     zeros = F.array_repeat(F.lit(0.0), MA_WIDTH)
     plain = plain.withColumns({"ma": F.lit(0), "ma_semanal": F.lit(0), "ma_coef": zeros, "restos": zeros})

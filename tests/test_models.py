@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from demandara.plans import (features, forecast, linear, moving_average, recursive, ridge, seasonal_ar,
                              short_series, strategies, trees, trend_season)
+from demandara.plans.linear import product_sums
 
 from .helpers import (Ridge, by_day, calendar, feature_frame, fit_on_first_part, frame, predict_ahead,
                       random_series, series)
@@ -422,3 +423,34 @@ def test_strategy_registry(spark):
     assert strategies.run("doble", None, 3, factor=4)[1] == 12
     assert "doble" in strategies.available() and strategies.labels()["linear"]
     assert Ridge is not None
+
+
+def test_order_sums_come_from_rows_of_values(spark):
+    rows = [r for i, n in enumerate((9, 10, 19, 34, 35, 60)) for r in random_series(n, i, f"s{i}")]
+    df = frame(spark, rows)
+    for train_only in (False, True):
+        had = seasonal_ar.prepared(df)
+        z = F.array(F.lit(1.0), *[F.col(f"l_{k}") for k in seasonal_ar.LAGS], F.col("w"))
+        want = {(r.series_id, r.d): r.g for r in product_sums(
+            had.where("is_train") if train_only else had, ["series_id", "d"], z, seasonal_ar.WIDTH).collect()}
+        got = {(r.series_id, r.d): r.g for r in seasonal_ar.value_sums(
+            seasonal_ar.held_series(df, train_only)).collect()}
+        assert set(got) == set(want) and len(got) == 10
+        for key in got:
+            assert got[key] == pytest.approx(want[key], rel=1e-12)
+    # No windows over the daily rows, and nothing but rows of values and of sums moves.
+    assert "Window" not in seasonal_ar.fit_all(df)._jdf.queryExecution().toString()
+
+
+def test_refinement_works_out_taken_steps_only(monkeypatch):
+    rng, asked = np.random.default_rng(4), []
+    values = [rng.integers(1, 50, 30).astype(float) for _ in range(200)]
+    slopes = moving_average.Batch._slopes
+
+    def counted(self, params, *rest):
+        asked.append(len(params))
+        return slopes(self, params, *rest)
+
+    monkeypatch.setattr(moving_average.Batch, "_slopes", counted)
+    moving_average.fit(values, 0, True, False)
+    assert asked[0] == 200 and sum(asked) < 200 * moving_average.STEPS * 0.9
