@@ -18,6 +18,21 @@ ALPHA = 1.0
 SWEEPS = 100_000
 
 
+def triangle_sums(data, starts):
+    """Sums of products of all pairs of columns over each run of rows that begins at ``starts``.
+
+    One row of the triangle after the other: all products at once would leave the processor's caches.
+    """
+    import numpy as np
+
+    width = data.shape[1]
+    sums, at = np.empty((len(starts), width * (width + 1) // 2)), 0
+    for i in range(width):
+        sums[:, at:at + width - i] = np.add.reduceat(data[:, i:i + 1] * data[:, i:], starts, axis=0)
+        at += width - i
+    return sums
+
+
 def product_sums(rows: DataFrame, keys: list[str], z: Column, width: int) -> DataFrame:
     """Sums of z_i * z_j (upper triangle, row by row) per key; ``z`` is an array column of
     ``width`` numbers."""
@@ -31,7 +46,6 @@ def product_sums(rows: DataFrame, keys: list[str], z: Column, width: int) -> Dat
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        up = np.triu_indices(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -46,7 +60,7 @@ def product_sums(rows: DataFrame, keys: list[str], z: Column, width: int) -> Dat
                     other = pc.not_equal(col.slice(1), col.slice(0, n - 1))
                     new[1:] |= other.fill_null(True).to_numpy(zero_copy_only=False)
                 starts = np.flatnonzero(new)
-                sums = np.add.reduceat(data[:, up[0]] * data[:, up[1]], starts, axis=0)
+                sums = triangle_sums(data, starts)
                 offsets = np.arange(0, sums.size + 1, sums.shape[1], dtype="int32")
                 vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
                 taken = [part.column(k).take(pa.array(starts)) for k in range(n_keys)]

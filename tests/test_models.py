@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -454,3 +455,14 @@ def test_refinement_works_out_taken_steps_only(monkeypatch):
     monkeypatch.setattr(moving_average.Batch, "_slopes", counted)
     moving_average.fit(values, 0, True, False)
     assert asked[0] == 200 and sum(asked) < 200 * moving_average.STEPS * 0.9
+
+
+def test_product_sums_stay_small():
+    data = np.random.default_rng(3).normal(size=(4096, 36))
+    starts, up = np.arange(0, 4096, 24), np.triu_indices(36)
+    tracemalloc.start()
+    got = linear.triangle_sums(data, starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, np.add.reduceat(data[:, up[0]] * data[:, up[1]], starts, axis=0))
+    assert peak < 5 << 20  # all products at once take four times as much
