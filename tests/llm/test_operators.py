@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import string
@@ -19,6 +20,7 @@ from demandara.llm import (decontamination, language_id, licenses, line_dedup, p
                            secrets, simhash, sketches, token_counts)
 from demandara.llm.components import components
 from demandara.llm.queries import QUERIES, table
+from demandara.session import materialise
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -428,6 +430,44 @@ def test_family_merges_equal_levels(spark):
     assert [n for n, _ in family.levels] == [2, 0, 0]
 
 
+def test_suffix_arrays_scan_levels_for_match_lengths(spark):
+    r, length, gram = random.Random(7), 20, 8
+    docs = ["".join(r.choices("aaab", k=r.randint(8, 12))) + "anchored" + "".join(r.choices("aaab\0", k=r.randint(4, 12)))
+            for _ in range(60)]
+    docs += ["bb" + docs[0][2:-2] + "bb", docs[1][3:], "x\0\0\0" + "anchored" + "bab\0\0\0\0\0\0"]
+    rows = [(7, k.to_bytes(2), 100, d.index("anchored"), k % 5 > 0, d.encode()) for k, d in enumerate(docs)]
+    seen = collections.Counter(d[a:a + length] for d in docs for a in range(len(d) - length + 1))
+    want = {(k.to_bytes(2), 100 + a) for k, d in enumerate(docs) if k % 5 for a in range(len(d) - length + 1)
+            if seen[d[a:a + length]] > 1}
+    family, got = repeats.SuffixArrays(length, gram), set()
+    for k in range(4):
+        part = rows[k::4]
+        batch = spark.createDataFrame(part + part[:2], family.ROW)  # the same stretch twice is one
+        got |= {(bytes(x["tid"]), a) for x in family.add(batch).collect()
+                for a in range(x["s"], x["e"] - length + 1)}
+    assert [n for n, _ in family.levels] == [1, 0, 0] and got == want and want
+    held = family.levels[0][1].collect()
+    assert sorted(bytes(x["bytes"]) for x in held) == sorted(x[5] for x in rows[0::4] + rows[1::4])
+    suffixes = [bytes(x["bytes"])[x["at"]:] for x in held]
+    assert suffixes == sorted(suffixes)
+
+
+def test_repeats_merge_levels_and_leave_no_dead_tables(spark, sf, texts, monkeypatch):
+    made = []
+    monkeypatch.setattr(repeats, "materialise", lambda *a: made.append(materialise(*a)) or made[-1])
+    merged = []
+    class Watched(repeats.SuffixArrays):
+        def add(self, batch):
+            found = super().add(batch)
+            merged.append(max(n for n, _ in self.levels))
+            return found
+    monkeypatch.setattr(repeats, "SuffixArrays", Watched)
+    check_repeats(table(spark, sf, "documents"), list(texts.items()), 200)
+    assert merged == [0, 0, 1, 1]
+    folders = [re.sub("^file:/*", "/", next(iter(x.inputFiles()), "").rsplit("/", 1)[0]) for x in made]
+    assert sum(os.path.isdir(x) for x in folders if x) <= 3  # settled documents, spans, crowded windows
+
+
 # 7 secrets
 
 def plain_spans(text):
