@@ -13,6 +13,8 @@ ordered some hundred thousand at a time.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,23 +39,30 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_n")))
 
 
-def _held(bands: DataFrame, by: list[str], wanted: Column) -> DataFrame:
+def _held(bands: DataFrame, by: list[str], wanted: Column,
+          ranks: list[Column] | None = None) -> DataFrame:
     """The bands (last of the key columns ``by``: ``_b`` or ``_c``) that hold a wanted rank.
 
     ``bands`` has ``_bn`` rows and ``_bd`` distinct values each; ``wanted`` is an array of
-    (_q, _r, _frac), ranks counted from the start of the group that the bands share.
+    (_q, _r, _frac), ranks counted from the start of the group that the bands share. ``ranks``
+    are the same ranks as plain columns: most bands hold none, and comparing numbers is cheaper
+    than going through an array.
     """
     w = W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, 0)
     start = F.col("_end") - F.col("_bn")
-    return (bands.withColumn("_end", F.sum("_bn").over(w))
-            .withColumn("_wanted", F.transform(
+    ended = bands.withColumn("_end", F.sum("_bn").over(w))
+    if ranks:
+        ended = ended.where(functools.reduce(Column.__or__, [
+            (r >= start) & (r < F.col("_end")) for r in ranks]))
+    return (ended.withColumn("_wanted", F.transform(
                 F.filter(wanted, lambda q: (q["_r"] >= start) & (q["_r"] < F.col("_end"))),
                 lambda q: F.struct(q["_q"].alias("_q"), (q["_r"] - start).alias("_r"),
                                    q["_frac"].alias("_frac"))))
             .where(F.size("_wanted") > 0).drop("_end", "_bn"))
 
 
-def cells(counts: DataFrame, by_key: list[str], wanted: Column) -> DataFrame:
+def cells(counts: DataFrame, by_key: list[str], wanted: Column,
+          ranks: list[Column] | None = None) -> DataFrame:
     """The value counts that are ordered: those of the steps ``_c`` of the bands ``_b`` that hold
     a wanted rank, with the ranks inside the step.
 
@@ -64,8 +73,10 @@ def cells(counts: DataFrame, by_key: list[str], wanted: Column) -> DataFrame:
     bands = counts.groupBy(*by_key, "_b").agg(
         F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"),
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    bands = bands.withColumn("n_valores", F.sum("_bn").over(W.partitionBy(*by_key)))
-    held = _held(bands, [*by_key, "_b"], wanted).withColumn("_steps", F.when(
+    # In the order of the running sums that follow, so that one pass over a group gives both.
+    bands = bands.withColumn("n_valores", F.sum("_bn").over(
+        W.partitionBy(*by_key).orderBy("_b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    held = _held(bands, [*by_key, "_b"], wanted, ranks).withColumn("_steps", F.when(
         (F.col("_bd") > FEW_VALUES) & (F.col("_hi") > F.col("_lo")),
         F.ceil(F.sqrt("_bd"))).otherwise(0)).drop("_bd")
     held = materialise(held)
@@ -94,16 +105,17 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str],
     by_key = keys or ["_todo"]
     if not keys:
         counts = counts.withColumn("_todo", F.lit(1))
-    wanted = []
+    wanted, ranks = [], []
     for name, p in probs.items():
         pos = (F.col("n_valores") - 1) * F.lit(float(p))
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            ranks.append(rank.cast("long"))
             wanted.append(F.struct(F.lit(f"{name}|{side}").alias("_q"),
-                                   rank.cast("long").alias("_r"),
+                                   ranks[-1].alias("_r"),
                                    (pos - F.floor(pos)).alias("_frac")))
     inside = (W.partitionBy(*by_key, "_b", "_c").orderBy("_v")
               .rowsBetween(W.unboundedPreceding, 0))
-    hits = (cells(counts, by_key, F.array(*wanted)).withColumn("_to", F.sum("_n").over(inside))
+    hits = (cells(counts, by_key, F.array(*wanted), ranks).withColumn("_to", F.sum("_n").over(inside))
             .select(*by_key, "n_valores", "_v", "_n", "_to", F.inline("_wanted"))
             .where((F.col("_r") >= F.col("_to") - F.col("_n"))
                    & (F.col("_r") < F.col("_to"))))

@@ -34,6 +34,24 @@ def test_quantiles_equal_numpy(spark, groups):
                                    rtol=1e-9, atol=1e-9)
 
 
+def test_bands_take_one_window_pass_and_compare_before_the_array(spark, monkeypatch):
+    from demandara.operators import quantiles
+    plans, write = [], quantiles.materialise
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    counts = value_counts(spark.range(100).selectExpr("id % 3 k", "id * 0.5 v"), ["k"], "v")
+    monkeypatch.setattr(quantiles, "materialise", watched)
+    rows = quantiles.quantiles_of_counts(counts, ["k"], {"q1": 0.25, "q3": 0.75}).collect()
+    assert {r.k: (r.q1, r.q3) for r in rows} == {
+        k: tuple(np.quantile(np.arange(k, 100, 3) * 0.5, [0.25, 0.75])) for k in range(3)}
+    assert len([x for x in plans[0].splitlines() if "Window " in x]) == 1
+    asked = next(x for x in plans[0].splitlines() if "Filter " in x and "lambda" in x)
+    assert asked.index(" OR ") < asked.index("lambda")
+
+
 def test_quantiles_of_one_crowded_band(spark):
     """A million distinct values of one band are ordered some thousand at a time."""
     from demandara.operators import quantiles
