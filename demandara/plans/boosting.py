@@ -9,19 +9,22 @@ gradient is prediction minus target and the curvature 1.
 
 Rows stay where they are, packed into blocks: one table row holds the keys, targets, predictions and bins of
 some ``BLOCK`` rows as bytes, so that a level costs array work alone. Predictions are written to the shared
-folder every ``REFRESH`` trees and carried on in between by walking the trees that are newer.
+folder every ``REFRESH`` trees and carried on in between by walking the trees that are newer. That happens once
+a tree: the gradients of the rows it draws and the bins of its features are cached until it is grown, in memory or on
+the executors' disks, and its levels read only them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -30,6 +33,8 @@ from .linear import add_up
 REFRESH = 10
 #: Rows of a block at most, so that its arrays stay in the processor's caches.
 BLOCK = 10_000
+#: Blocks sent to Python at a time: it works on some while the next ones are read.
+AT_A_TIME = 4
 #: Tasks whose sums the driver adds up itself: at most as many rows per node.
 FEW_TASKS = 32
 #: Curvature that both sides of a split need, as many rows for squared error.
@@ -46,12 +51,20 @@ class Tree:
     def walk(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
         """Node of every row after ``levels`` steps (all by default); rows stop at leaves."""
         n, width = bins.shape
-        flat, first = np.ascontiguousarray(bins).ravel(), np.arange(0, n * width, max(width, 1))
+        return self._down(np.ascontiguousarray(bins).ravel(), np.arange(0, n * width, max(width, 1)),
+                          np.maximum(self.feature, 0), levels)
+
+    def walk_columns(self, bins: np.ndarray, used: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The same for bins (feature, row) that hold the ascending features ``used`` only."""
+        n = bins.shape[1]
+        return self._down(bins.ravel(), np.arange(n), np.searchsorted(used, np.maximum(self.feature, used[0])) * n, levels)
+
+    def _down(self, flat: np.ndarray, first: np.ndarray, at: np.ndarray, levels: int | None) -> np.ndarray:
         # A leaf goes to itself: no bin is above its cut.
         leaf = self.feature < 0
-        at, cut = np.maximum(self.feature, 0), np.where(leaf, 255, self.cut).astype(np.int16)
+        cut = np.where(leaf, 255, self.cut).astype(np.int16)
         left = np.where(leaf, np.arange(len(leaf)), 2 * np.arange(len(leaf)) + 1)
-        node = np.zeros(n, np.int64)
+        node = np.zeros(len(first), np.int64)
         depth = (len(self.feature) + 1).bit_length() - 2
         for _ in range(depth if levels is None else levels):
             above = flat.take(first + at.take(node)) > cut.take(node)
@@ -168,22 +181,53 @@ def quantile_cuts(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
 
 
 SHAPE = "k binary, y binary, f binary, b binary"
+#: Rows drawn by one tree: gradients and, feature by feature, the bins it may use.
+DRAWN = "g binary, b binary"
 
 
-def _block(key: np.ndarray, y: np.ndarray, f: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-    """One table row of many rows' keys, targets, predictions and bins."""
+def _block(names: str, *values: np.ndarray) -> pa.RecordBatch:
+    """One table row of many rows' values: columns named by single letters."""
     return pa.RecordBatch.from_arrays(
-        [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (key, y, f, codes)],
-        ["k", "y", "f", "b"])
+        [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in values], list(names))
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, ``BLOCK`` at a time whatever the session's size of a batch."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, BLOCK - n))
+            at, n = at + held[-1].num_rows, n + held[-1].num_rows
+            if n == BLOCK:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _values(batches: Iterator[pa.RecordBatch], **types) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays of every block, by column and type."""
+    for batch in batches:
+        for row in zip(*(batch[c] for c in types)):
+            yield tuple(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, types.values()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Keys, targets, predictions and bins (row, feature) of every block."""
-    for batch in batches:
-        for row in zip(*(batch[c] for c in ("k", "y", "f", "b"))):
-            key, y, f, codes = (np.frombuffer(v.as_buffer(), t) for v, t in
-                                zip(row, (np.int64, np.float64, np.float64, np.uint8)))
-            yield key, y, f, codes.reshape(len(key), width)
+    for key, y, f, codes in _values(batches, k=np.int64, y=np.float64, f=np.float64, b=np.uint8):
+        yield key, y, f, codes.reshape(len(key), width)
+
+
+@contextmanager
+def _few_blocks_at_a_time(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(AT_A_TIME))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def fit(rows: DataFrame, *, features: str = "features", target: str = "_objetivo", key: str = "_k",
@@ -202,55 +246,70 @@ def fit(rows: DataFrame, *, features: str = "features", target: str = "_objetivo
     model.thresholds = quantile_cuts(raw, width, bins)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                b = batch.slice(at, BLOCK)
-                codes = model.bins(b["x"].flatten().to_numpy().reshape(b.num_rows, width))
-                yield _block(b["k"].to_numpy(), b["y"].to_numpy(),
-                             np.full(b.num_rows, model.base), codes)
-
-    held, new = materialise(raw.mapInArrow(encode, SHAPE)), []
+        for b in _in_blocks(batches):
+            codes = model.bins(pc.list_flatten(b["x"]).to_numpy().reshape(b.num_rows, width))
+            yield _block("kyfb", b["k"].to_numpy(), b["y"].to_numpy(), np.full(b.num_rows, model.base), codes)
+
+    held = materialise(raw.mapInArrow(encode, SHAPE))
+    with _few_blocks_at_a_time(rows.sparkSession):
+        _boost(held, model, trees, depth, rate, row_share, feature_share, l1, l2, bins, seed)
+    return model
+
+
+def _boost(held: DataFrame, model: Boosted, trees: int, depth: int, rate: float, row_share: float,
+           feature_share: float, l1: float, l2: float, bins: int, seed: int) -> None:
+    """Add the trees one by one to a model that has its thresholds."""
+    width, new = len(model.thresholds), []
     few = held.rdd.getNumPartitions() <= FEW_TASKS
     for number in range(trees):
-        allowed = chosen_features(width, number, seed, feature_share)
+        used = np.flatnonzero(chosen_features(width, number, seed, feature_share))
         tree = Tree(np.full(2 ** (depth + 1) - 1, -1), np.zeros(2 ** (depth + 1) - 1, np.int64),
                     np.zeros(2 ** (depth + 1) - 1))
+        drawn = held.mapInArrow(_drawn(new, number, used, width, row_share, seed), DRAWN).persist()
         for level in range(depth):
-            if not _grow(held, new, tree, level, number, model, allowed, rate, row_share, l1, l2, bins, seed,
-                         few):
+            if not _grow(drawn, tree, level, model, used, rate, l1, l2, bins, few):
                 break
+        drawn.unpersist()
         model.trees.append(tree)
         new.append(tree)
         if len(new) == REFRESH and number + 1 < trees:
             held, new = materialise(held.mapInArrow(_carry_on(new, width), SHAPE)), []
-    return model
 
 
 def _carry_on(new: list[Tree], width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, y, f, codes in _blocks(batches, width):
-            yield _block(key, y, f + sum(t.value[t.walk(codes)] for t in new), codes)
+            yield _block("kyfb", key, y, f + sum(t.value[t.walk(codes)] for t in new), codes)
     return work
 
 
-def _grow(held: DataFrame, new: list[Tree], tree: Tree, level: int, number: int, model: Boosted,
-          allowed: np.ndarray, rate: float, row_share: float, l1: float, l2: float, bins: int, seed: int, few: bool) -> bool:
-    """Split the tree's nodes of one level; whether any was split."""
-    width, first = len(allowed), 2 ** level - 1
-    used = np.flatnonzero(allowed)
-
+def _drawn(new: list[Tree], number: int, used: np.ndarray, width: int, row_share: float, seed: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2 ** level, len(used), bins))
         for key, y, f, codes in _blocks(batches, width):
             rows = np.flatnonzero(sampled(key, number, seed, row_share))
-            # Rows in leaves above this level have nothing left to split.
-            here = tree.walk(codes[rows], level)
-            rows, node = rows[here >= first], here[here >= first] - first
             codes = codes[rows]
             g = f[rows] + sum((t.value[t.walk(codes)] for t in new), np.zeros(len(rows))) - y[rows]
+            yield _block("gb", g, codes[:, used].T)
+    return work
+
+
+def _grow(drawn: DataFrame, tree: Tree, level: int, model: Boosted, used: np.ndarray, rate: float,
+          l1: float, l2: float, bins: int, few: bool) -> bool:
+    """Split the tree's nodes of one level; whether any was split."""
+    first = 2 ** level - 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2 ** level, len(used), bins))
+        for g, codes in _values(batches, g=np.float64, b=np.uint8):
+            codes = codes.reshape(len(used), len(g))
+            # Rows in leaves above this level have nothing left to split.
+            node = tree.walk_columns(codes, used, level) - first
+            if len(node) and node.min() < 0:
+                rows = np.flatnonzero(node >= 0)
+                node, g, codes = node[rows], g[rows], codes[:, rows]
             node *= bins
-            for j, c in enumerate(used):
-                at = node + codes[:, c]
+            for j in range(len(used)):
+                at = node + codes[j]
                 sums[0, :, j] += np.bincount(at, g, 2 ** level * bins).reshape(-1, bins)
                 sums[1, :, j] += np.bincount(at, minlength=2 ** level * bins).reshape(-1, bins)
         some = np.flatnonzero(sums[1, :, 0].sum(axis=1))
@@ -259,7 +318,7 @@ def _grow(held: DataFrame, new: list[Tree], tree: Tree, level: int, number: int,
              pa.array(list(sums[:, some].transpose(1, 0, 2, 3).reshape(len(some), -1)), pa.list_(pa.float64()))],
             ["node", "g"])
 
-    parts = held.mapInArrow(work, "node int, g array<double>")
+    parts = drawn.mapInArrow(work, "node int, g array<double>")
     # From few tasks the sums go straight to the driver, from many through a grouped sum.
     table = (parts if few else add_up(parts, ["node"])).toArrow()
     if not table.num_rows:

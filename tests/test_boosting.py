@@ -137,6 +137,61 @@ def test_rows_travel_in_blocks(spark, monkeypatch):
         assert all(by_key[int(a)] == b.tobytes() for a, b in zip(np.frombuffer(r["k"], np.int64), rows))
 
 
+def test_a_tree_reads_all_rows_once(spark, monkeypatch):
+    """Its levels read the drawn rows and the bins it may use, which are cached and then let go."""
+    x, y, k = data(3000)
+    read, kept, grown, grow = spark.sparkContext.accumulator(0), boosting.materialise, [], boosting._grow
+
+    def counted(batches):
+        for batch in batches:
+            read.add(sum(len(v.as_py()) // 8 for v in batch["k"]))
+            yield batch
+
+    def held(df):
+        out = kept(df)
+        return out.mapInArrow(counted, boosting.SHAPE) if out.columns == ["k", "y", "f", "b"] else out
+
+    def watched(drawn, *rest):
+        grown.append((drawn.storageLevel.useMemory, drawn))
+        return grow(drawn, *rest)
+
+    monkeypatch.setattr(boosting, "materialise", held)
+    monkeypatch.setattr(boosting, "_grow", watched)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    model = boosting.fit(table(spark, x, y, k), trees=3, depth=3, row_share=0.5)
+    assert len(model.trees) == 3 and len(grown) == 9 and all(cached for cached, _ in grown)
+    assert read.value == 3 * 3000
+    assert not any(drawn.storageLevel.useMemory for _, drawn in grown)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
+def test_blocks_are_full_with_small_batches(spark, monkeypatch):
+    x, y, k = data(25_000, 4)
+    held, kept = [], boosting.materialise
+    monkeypatch.setattr(boosting, "materialise", lambda df: held.append(kept(df)) or held[-1])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    batch = spark.conf.get(name)
+    spark.conf.set(name, "700")
+    try:
+        boosting.fit(table(spark, x, y, k).coalesce(1), trees=1, depth=1)
+        assert spark.conf.get(name) == "700"
+    finally:
+        spark.conf.set(name, batch)
+    sizes = [len(r["k"]) // 8 for r in held[1].select("k").collect()]
+    parts = held[0].rdd.getNumPartitions()
+    assert sum(sizes) == 25_000 and sum(n < boosting.BLOCK for n in sizes) <= parts
+
+
+def test_columns_are_walked_like_rows():
+    rng = np.random.default_rng(5)
+    tree = boosting.Tree(np.array([4, 1, -1, 4, 2, -1, -1] + [-1] * 8), rng.integers(0, 9, 15), np.zeros(15))
+    bins = rng.integers(0, 9, (500, 6)).astype(np.uint8)
+    used = np.array([1, 2, 4])
+    for levels in (0, 1, 2, None):
+        assert (tree.walk_columns(np.ascontiguousarray(bins[:, used].T), used, levels) == tree.walk(bins, levels)).all()
+    assert len(tree.walk_columns(np.zeros((3, 0), np.uint8), used)) == 0
+
+
 def test_walk_stops_at_leaves():
     tree = boosting.Tree(np.array([0, -1, 1, -1, -1, -1, -1]), np.array([3, 0, 7, 0, 0, 0, 0]), np.zeros(7))
     bins = np.array([[3, 255], [4, 7], [255, 255]], np.uint8)
