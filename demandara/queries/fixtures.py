@@ -11,15 +11,31 @@ from pyspark.sql import functions as F
 
 from ..functions.text import zero_pad
 from ..operators.demand import daily_demand
+from ..session import stored_bytes
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of a key table that Spark may broadcast. Its own limit counts bytes of files, which say little of what keys
+#: take in the driver: 7.2 million parts whose column has 5 MB do not fit into 750 MB there, 1.2 million take 305 MB.
+BROADCAST_ROWS = 1_500_000
+#: Bytes of a table that cannot have so many rows; its rows are not counted.
+FEW_BYTES = 1 << 20
+
+
+def key_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose keys others look up: a long one is joined by sorted keys, not held by driver and tasks."""
+    df = table(spark, sf, name)
+    if stored_bytes(spark, f"{sf}/{name}.parquet") <= FEW_BYTES or df.count() <= BROADCAST_ROWS:
+        return df
+    return df.hint("merge")
+
+
 def base(spark, sf) -> DataFrame:
     """Line items with their part and supplier."""
-    li, part, supp = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
+    li, part, supp = table(spark, sf, "lineitem"), key_table(spark, sf, "part"), key_table(spark, sf, "supplier")
     return (li.join(part, li.l_partkey == part.p_partkey)
             .join(supp, li.l_suppkey == supp.s_suppkey)
             .withColumns({
@@ -113,7 +129,7 @@ def serie_part(spark, sf) -> DataFrame:
 
 def brand_rows(spark, sf) -> DataFrame:
     """Consumption rows per brand."""
-    li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    li, part = table(spark, sf, "lineitem"), key_table(spark, sf, "part")
     return (li.join(part, li.l_partkey == part.p_partkey)
             .select(F.col("p_brand").alias("codigo"), F.to_date("l_shipdate").alias("fecha"),
                     F.col("l_quantity").alias("cantidad")))

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pandas as pd
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from demandara.functions import bands, calendar, text
 from demandara.operators import cleaning, inventory
+from demandara.queries import QUERIES
 from demandara.queries import fixtures as fx
 from demandara.sources import ingest, scans, schemas, search, sinks
 
@@ -217,3 +219,34 @@ def test_sinks(spark, tmp_path):
                                  "codigo string, descripcion string, demanda_total double, "
                                  "r2 double, mae double, estado string")
     assert sinks.mass_headers(mass).columns == sinks.MASS_HEADERS
+
+
+def test_long_key_tables_are_not_broadcast(spark, tmp_path):
+    """1.6 million parts of well compressed columns are under Spark's limit in bytes, not under that in rows."""
+    n = 1_600_000
+    spark.range(n).select(
+        F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), F.lit("Brand#1").alias("p_brand"),
+        F.lit("SMALL").alias("p_type"), F.lit(12).alias("p_size"), F.lit(9.5).alias("p_retailprice")
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "S1", 7, 1.0), (2, "S2", 8, 1.0)],
+                          "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    day = dt.datetime(2001, 5, 1)
+    lines = [(1, 0, 1, 1, 5.0, 0.0, "N", "O", day), (1, n - 1, 2, 2, 7.0, 0.0, "N", "O", day),
+             (2, n - 1, 2, 1, 3.0, 0.0, "N", "O", day), (2, n, 1, 2, 4.0, 0.0, "N", "O", day),
+             (2, None, 1, 3, 4.0, 0.0, "N", "O", day)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "O", day, "1-URGENT"), (2, "P", day, "5-LOW")],
+                          "o_orderkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"
+                          ).write.parquet(f"{tmp_path}/orders.parquet")
+    out = QUERIES["j04_stock_orders"].run(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "p_partkey" in plan and not re.search(r"BroadcastHashJoin \[l_partkey", plan)
+    assert "BroadcastHashJoin [l_suppkey" in plan
+    assert sorted(r[:6] for r in out.collect()) == [
+        ("0", "0007", "00NO", 5.0, 5.0, 1), (str(n - 1), "0008", "00NO", 10.0, 8.0, 2)]
+    brands = fx.brand_rows(spark, str(tmp_path))
+    assert "BroadcastHashJoin" not in brands._jdf.queryExecution().executedPlan().toString()
+    assert brands.count() == 3
