@@ -170,8 +170,9 @@ def solve(sums: DataFrame, keys: list[str], width: int, *, method: str = "ridge"
                     full = a + al[:, None, None] * np.eye(p)
                     w = penalised(full, b)
                 elif method == "ols":
-                    w = np.einsum("sij,sj->si", np.linalg.pinv(a, rcond=1e-10,
-                                                               hermitian=True), b)
+                    # Features that are off have none, also where the inverse leaves a trace of rounding.
+                    w = live * np.einsum("sij,sj->si", np.linalg.pinv(a, rcond=1e-10,
+                                                                      hermitian=True), b)
                 else:
                     w = absolute_penalty(a, b, n, al)
                 w[bad] = np.nan
